@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import licences, tokens
+from plotwise.llm import licences, quality, simhash, tokens
 from plotwise.session import table
 
 
@@ -22,9 +22,19 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_tokens": op2_tokens,
+    "op4_quality": op4_quality,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
