@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import licences, quality, simhash, tokens
+from plotwise.llm import licences, packing, quality, simhash, tokens
 from plotwise.session import table
 
 
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op1_licences": op1_licences,
     "op2_tokens": op2_tokens,
     "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
 }
 
