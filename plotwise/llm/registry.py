@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import licences, packing, quality, simhash, tokens
+from plotwise.llm import licences, packing, pii, quality, simhash, tokens
 from plotwise.session import table
 
 
@@ -22,6 +22,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_tokens": op2_tokens,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
