@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import licences, packing, pii, quality, simhash, tokens
+from plotwise.llm import licences, mixing, packing, pii, quality, simhash, tokens, toxicity
 from plotwise.session import table
 
 
@@ -30,6 +30,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -38,13 +42,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_tokens": op2_tokens,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
