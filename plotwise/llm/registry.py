@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import licences, mixing, packing, pii, quality, simhash, tokens, toxicity
+from plotwise.llm import embeddings, licences, mixing, packing, pii, quality, simhash, tokens, toxicity
 from plotwise.session import table
 
 
@@ -46,6 +46,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_tokens": op2_tokens,
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {}
