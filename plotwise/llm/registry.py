@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import embeddings, licences, mixing, packing, pii, quality, simhash, tokens, toxicity
+from plotwise.llm import embeddings, licences, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity
 from plotwise.session import table
 
 
@@ -42,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_suffixes": op8_suffixes,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
 }
