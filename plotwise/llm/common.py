@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,3 +49,12 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     """The frame read back from a reliable checkpoint, which outlives lost executors."""
     reliable(frame.sparkSession)
     return frame.checkpoint(eager)
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder, read back; compressed, unlike a checkpoint."""
+    spark = frame.sparkSession
+    reliable(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)

@@ -61,13 +61,13 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            meta = [batch.column(2), batch.column(3)]
+            meta = batch.columns[2:]
             done = 0
             for ids, texts in slices(iter([batch])):
                 got = np.array([counts(t) for t in texts], np.int64).reshape(-1, 8)
                 yield pa.record_batch(
                     [pa.array(ids, pa.int64()), *(m.slice(done, len(ids)) for m in meta), *(pa.array(got[:, i]) for i in range(8))],
-                    names=["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper"],
+                    names=["doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper"],
                 )
                 done += len(ids)
 
@@ -76,14 +76,15 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
-    ).mapInArrow(run, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long")
+        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"),
+    ).mapInArrow(run, "doc_id long, lang string, source string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long")
     n = F.col("n_words")
 
     def rate(part: str, of: Column, weight: float, typical: float) -> Column:
         return F.log((F.col(part) + F.lit(weight * typical)) / (of + F.lit(weight)))
 
     return rows.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"),
         F.log((F.col("word_chars") + 100.0) / (n + 20.0)).alias("f_word"),
         rate("n_symbols", n, 50.0, 0.02).alias("f_symbol"),
@@ -198,7 +199,7 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance and text_hash of every row.
 
     The base rule rejects texts under 50 words or with over half their words in repeated 3-word windows; of the
     rest, ``outliers`` rejects those far from their language and source. ``distance`` is null for rows that it
@@ -212,5 +213,12 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     far = outliers(stats.where("not base_failed").select("row_id", "lang", "source", *FEATURES), **options)
     return stats.join(far, "row_id", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("distance").isNull()).alias("kept"), "distance",
+        (~F.col("base_failed") & F.col("distance").isNull()).alias("kept"), "distance", "text_hash",
     )
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects, by id and text hash: one anti-join against the rejected."""
+    bad = judge(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("bad_hash"))
+    return docs.join(bad, same, "left_anti")

@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -127,3 +127,12 @@ def _name_rows(rows: DataFrame, named: DataFrame, salts: int = 16) -> DataFrame:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     copies = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id, and of rows with that id the first by text."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head_id")).distinct()
+    kept = docs.join(heads, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("head_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`")))
+    return kept.withColumn("simhash_row", first).where("simhash_row = 1").drop("simhash_row")
