@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -18,52 +20,83 @@ SPECIAL = "<|endoftext|>"
 _RUN = re.compile(r"\s ")
 
 
+#: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Byte-level BPE's letters for bytes: printable ones stand for themselves, the others for U+0100 onwards."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Word -> ids as bytes, filled on demand."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = np.array(self.encode(" " + word), "<u4").tobytes()
+        return ids
+
+
 class WordEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by tokenizers, with a bounded cache of words.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, as tokenizers gives them, with a cache of words.
 
     The pre-tokenizer always parts between a character that isn't white space and a space, so such pieces are
-    encoded on their own. Texts with other white space before a space, or with the special token's string, are
-    encoded whole.
+    encoded on their own and kept, up to ``most_words``. If the file's merges stand in the order of their ids, new
+    pieces go through tiktoken over the same vocabulary, which is the same algorithm; else, and for texts with other
+    white space before a space or with the special token's string, tokenizers encodes.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 800_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.most_words, self.cache = most_words, {}
-        vocabulary = self.model.get_vocab()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        vocabulary = self.whole.get_vocab()
         self.sentence_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.sentence_end[i] = piece[-1:] in {".", "!", "?", "Ċ"}  # Ċ stands for a line feed
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.words, self.most_words = _Words(self._ordinary(model) or self._slow), most_words
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.most_words:
-            self.cache.clear()
-        cache, out, parted, unknown = self.cache, [b""] * len(texts), [], set()
-        whole = []
-        for i, text in enumerate(texts):
-            if SPECIAL in text or _RUN.search(text):
-                whole.append(i)
-            else:
-                words = text.split(" ")
-                parted.append((i, words))
-                unknown.update(words[1:])
-        heads = self._encode([words[0] for _, words in parted])
-        new = [w for w in unknown if w not in cache]
-        cache.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        for (i, words), head in zip(parted, heads, strict=True):
-            out[i] = head + b"".join(map(cache.__getitem__, words[1:]))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def _slow(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _ordinary(self, model: dict) -> Callable[[str], list[int]] | None:
+        letters, vocab = byte_alphabet(), model["vocab"]
+        merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+        if merged != sorted(x for x in merged if x is not None) or any(c not in vocab for c in letters):
+            return None
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in vocab.items() if all(c in letters for c in piece) and piece != SPECIAL}
+        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        if SPECIAL in text or _RUN.search(text):
+            return np.array(self._slow(text), "<u4").tobytes()
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        head, *words = text.split(" ")
+        return np.array(self.words.encode(head), "<u4").tobytes() + b"".join(map(self.words.__getitem__, words))
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: its bounded cache of words serves one task after another."""
+    kept = sys.modules.setdefault("plotwise_worker", types.ModuleType("plotwise_worker")).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def tail_lengths(rest: int, size: int, hard: float) -> tuple[float, list[int]]:
@@ -178,7 +211,7 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, encoder: Callable[[str], WordEncoder] = WordEncoder) -> DataFrame:
+def pack(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, encoder: Callable[[str], WordEncoder] = worker_encoder) -> DataFrame:
     """Pieces of all documents in sequences of at most ``size`` tokens, in the order of the input.
 
     Each task packs its own partition, in one narrow pass without a shuffle, and numbers its sequences from its
@@ -201,8 +234,8 @@ def pack(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for ids, texts in slices(batches, 1 << 20):
-            for doc_id, raw in zip(ids, model.encode(texts), strict=True):
-                for rows in packer.add(doc_id, np.frombuffer(raw + end, "<u4")):
+            for doc_id, text in zip(ids, texts, strict=True):
+                for rows in packer.add(doc_id, np.frombuffer(model.encode(text) + end, "<u4")):
                     if rows:
                         yield batch_of(rows)
         if rows := packer.flush(final=True):
