@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.session import table
+from plotwise.plans import decisions, geodesy, polygons
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_PLANS = (geodesy, polygons, decisions)
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run for plan in _PLANS for name, run in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the placement query is in."""
-    return table(spark, sf_dir, "part")
+flagship = decisions.flagship

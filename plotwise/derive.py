@@ -72,7 +72,7 @@ def fit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("exif_heading", "silhouette", "facade_detail", "road_normal", "aspect_ratio", "arbitrary_symmetric"))), (F.col("l_orderkey") % 6 + 1).cast("int")).alias("disambiguated_by"),
         F.element_at(F.array(*map(F.lit, ("osm_height", "osm_levels", "monocular_depth", "microsoft", "proportional_fallback"))), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("height_source"),
         F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey") % 4 == 0).alias("exif_silhouette_disagree"),
-        F.when((F.col("l_quantity") + F.col("l_partkey") % 20) > 30, 1).otherwise(0).alias("label"),
+        F.when(((F.col("l_quantity") + F.col("l_partkey") % 20) > 30) & (F.col("l_suppkey") % 9 != 0), 1).otherwise(0).alias("label"),
         (F.col("l_extendedprice") % 1000).alias("ms"),
         F.least(F.lit(1.0), F.col("l_quantity") / 50.0).alias("p"),
     )
@@ -110,7 +110,7 @@ SQL = {
         ['exif_heading','silhouette','facade_detail','road_normal','aspect_ratio','arbitrary_symmetric'][l_orderkey%6+1] AS disambiguated_by,
         ['osm_height','osm_levels','monocular_depth','microsoft','proportional_fallback'][l_suppkey%5+1] AS height_source,
         CASE WHEN l_orderkey%3<>0 THEN l_orderkey%4=0 END AS exif_silhouette_disagree,
-        CASE WHEN l_quantity+l_partkey%20>30 THEN 1 ELSE 0 END AS label, l_extendedprice%1000 AS ms, least(1.0::DOUBLE,l_quantity/50.0::DOUBLE) AS p FROM lineitem)""",
+        CASE WHEN l_quantity+l_partkey%20>30 AND l_suppkey%9<>0 THEN 1 ELSE 0 END AS label, l_extendedprice%1000 AS ms, least(1.0::DOUBLE,l_quantity/50.0::DOUBLE) AS p FROM lineitem)""",
     "box": """box AS (SELECT p_partkey//20 AS photo, p_partkey AS box, ((p_partkey*37)%900)::DOUBLE AS x0, ((p_partkey*53)%700)::DOUBLE AS y0,
         ((p_partkey*37)%900)::DOUBLE+20.0::DOUBLE+p_size*3.0::DOUBLE AS x1, ((p_partkey*53)%700)::DOUBLE+30.0::DOUBLE+(p_partkey*7)%90 AS y1,
         ['window','door','garage_door','entrance','other'][p_partkey%5+1] AS type, (p_partkey*13)%101/100.0::DOUBLE AS score FROM part)""",
