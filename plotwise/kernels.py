@@ -1,0 +1,463 @@
+"""Numeric kernels over numpy arrays, without Spark: what expressions can't say (clipping, iterative fits, greedy walks)."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+
+
+def area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0], ring[:, 1]
+    return float(x @ np.roll(y, -1) - np.roll(x, -1) @ y) / 2
+
+
+def _sides(rings: list[np.ndarray]) -> np.ndarray:
+    """(n, 4): ax, ay, bx, by of all rings' sides."""
+    return np.concatenate([np.column_stack([r, np.roll(r, -1, axis=0)]) for r in rings])
+
+
+def intersection_area(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    """Area common to two polygons, each a list of rings under the even-odd rule (holes are further rings).
+
+    Horizontal slabs between all vertices' and crossings' heights: inside a slab no sides cross, so the common width
+    is linear in height and its middle value times the slab's height is exact.
+    """
+    p, q = _sides(a), _sides(b)
+    d1, d2 = p[:, None, 2:] - p[:, None, :2], q[None, :, 2:] - q[None, :, :2]
+    w = q[None, :, :2] - p[:, None, :2]
+    det = d1[..., 0] * d2[..., 1] - d1[..., 1] * d2[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (w[..., 0] * d2[..., 1] - w[..., 1] * d2[..., 0]) / det
+        s = (w[..., 0] * d1[..., 1] - w[..., 1] * d1[..., 0]) / det
+        hit = (np.abs(det) > 1e-15) & (t >= 0) & (t <= 1) & (s >= 0) & (s <= 1)
+        crossing = (p[:, None, 1] + t * d1[..., 1])[hit]
+    heights = np.unique(np.concatenate([p[:, 1], q[:, 1], crossing]))
+    if len(heights) < 2:
+        return 0.0
+    middle, tall = (heights[1:] + heights[:-1]) / 2, np.diff(heights)
+
+    def cuts(side: np.ndarray) -> np.ndarray:
+        ay, by = side[:, 1][None, :], side[:, 3][None, :]
+        across = (ay > middle[:, None]) != (by > middle[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = side[:, 0] + (middle[:, None] - ay) / (by - ay) * (side[:, 2] - side[:, 0])
+        return np.where(across, x, np.inf)
+
+    x = np.concatenate([cuts(p), cuts(q)], axis=1)
+    order = np.argsort(x, axis=1, kind="stable")
+    x = np.take_along_axis(x, order, axis=1)
+    of_p = order < len(p)
+    inside = (np.cumsum(of_p, axis=1) % 2 == 1) & (np.cumsum(~of_p, axis=1) % 2 == 1)
+    right = np.concatenate([x[:, 1:], np.full((len(x), 1), np.inf)], axis=1)
+    with np.errstate(invalid="ignore"):
+        width = np.where(inside & np.isfinite(right), right - x, 0.0).sum(axis=1)
+    return float(width @ tall)
+
+
+def polygon_area(rings: list[np.ndarray]) -> float:
+    return abs(area(rings[0])) - sum(abs(area(r)) for r in rings[1:])
+
+
+def iou(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    common = intersection_area(a, b)
+    union = polygon_area(a) + polygon_area(b) - common
+    return common / union if union > 0 else 0.0
+
+
+def nearest_on_boundary(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    a, b = ring, np.roll(ring, -1, axis=0)
+    d = b - a
+    t = np.clip(((points[:, None] - a) * d).sum(2) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    near = a + t[..., None] * d
+    best = ((near - points[:, None]) ** 2).sum(2).argmin(1)
+    return near[np.arange(len(points)), best]
+
+
+def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
+    one = lambda p, q: float(np.sqrt(((nearest_on_boundary(p, q) - p) ** 2).sum(1)).max())
+    return max(one(a, b), one(b, a))
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Convex hull, counter-clockwise, by monotone chains."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p
+
+    def chain(rows: np.ndarray) -> list:
+        out: list = []
+        for v in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (v[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (v[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(v)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def ombb(ring: np.ndarray) -> dict:
+    """Rotated box of least area: centre, angle of the longer side in [0, pi), a >= b. Degenerate rings get their bounds."""
+    h = hull(ring)
+    if len(h) < 3:
+        low, high = ring.min(0), ring.max(0)
+        size = high - low
+        return {"centre": (low + high) / 2, "angle": 0.0 if size[0] >= size[1] else math.pi / 2, "a": float(size.max()), "b": float(size.min())}
+    d = np.roll(h, -1, axis=0) - h
+    u = d / np.hypot(d[:, 0], d[:, 1])[:, None]
+    along, across = h @ u.T, h @ np.column_stack([-u[:, 1], u[:, 0]]).T
+    s, t = np.ptp(along, axis=0), np.ptp(across, axis=0)
+    turn = np.mod(np.arctan2(u[:, 1], u[:, 0]) + np.where(s >= t, 0, math.pi / 2), math.pi)
+    i = min(range(len(h)), key=lambda k: (round(float(s[k] * t[k]), 6), round(float(turn[k]), 6)))
+    cs, ct = (along[:, i].max() + along[:, i].min()) / 2, (across[:, i].max() + across[:, i].min()) / 2
+    return {"centre": np.array([cs * u[i, 0] - ct * u[i, 1], cs * u[i, 1] + ct * u[i, 0]]), "angle": float(turn[i]), "a": float(max(s[i], t[i])), "b": float(min(s[i], t[i]))}
+
+
+def rotation(theta: float) -> np.ndarray:
+    c, s = math.cos(theta), math.sin(theta)
+    return np.array([[c, -s], [s, c]])
+
+
+def place(points: np.ndarray, pose: dict) -> np.ndarray:
+    """Scale along the model's axes, rotate, translate."""
+    return points * [pose["sx"], pose["sy"]] @ rotation(pose["theta"]).T + pose["t"]
+
+
+def candidates(target: dict, model: dict) -> list[dict]:
+    """The four poses that lay one box on the other; odd turns pair long with short. One mean scale, centres aligned."""
+    out = []
+    for k in range(4):
+        theta = target["angle"] - model["angle"] + k * math.pi / 2
+        pair = (target["a"], target["b"]) if k % 2 == 0 else (target["b"], target["a"])
+        s = (pair[0] / max(model["a"], 1e-9) + pair[1] / max(model["b"], 1e-9)) / 2
+        out.append({"k": k, "theta": theta, "sx": s, "sy": s, "t": target["centre"] - s * rotation(theta) @ model["centre"]})
+    return out
+
+
+def umeyama(x: np.ndarray, y: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """(scale, angle, shift) of the similarity that takes x nearest to y; never a reflection. From two sums of products."""
+    mx, my = x.mean(0), y.mean(0)
+    a, b = x - mx, y - my
+    c, s = float((a * b).sum()), float((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum())
+    spread = float((a * a).sum())
+    theta = math.atan2(s, c)
+    scale = math.hypot(c, s) / spread if spread > 1e-12 else 1.0
+    return scale, theta, my - scale * rotation(theta) @ mx
+
+
+def resample(ring: np.ndarray, n: int) -> np.ndarray:
+    """n points at equal arc lengths along the closed ring."""
+    closed = np.vstack([ring, ring[:1]])
+    reach = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(closed, axis=0).T))])
+    if reach[-1] < 1e-9:
+        return np.repeat(ring[:1], n, axis=0)
+    at = np.arange(n) * (reach[-1] / n)
+    return np.column_stack([np.interp(at, reach, closed[:, 0]), np.interp(at, reach, closed[:, 1])])
+
+
+def icp(target: np.ndarray, model: np.ndarray, pose: dict, rounds: int = 12, samples: int = 400) -> dict:
+    """Alternate nearest boundary points and the closed-form similarity."""
+    points, pose = resample(model, samples), dict(pose)
+    for _ in range(rounds):
+        moved = place(points, pose)
+        scale, turn, shift = umeyama(moved, nearest_on_boundary(moved, target))
+        if not scale > 0 or not math.isfinite(scale):
+            break
+        pose |= {"theta": pose["theta"] + turn, "sx": pose["sx"] * scale, "sy": pose["sy"] * scale, "t": scale * rotation(turn) @ pose["t"] + shift}
+        if abs(turn) < 1e-6 and abs(scale - 1) < 1e-6:
+            break
+    return pose
+
+
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, most: int = 400, x_tol: float = 1e-4, f_tol: float = 1e-5) -> np.ndarray:
+    """Downhill simplex with the usual coefficients; starts from five-percent steps."""
+    n = len(start)
+    points = [np.array(start, float)]
+    for i in range(n):
+        p = points[0].copy()
+        p[i] = p[i] * 1.05 if p[i] else 0.00025
+        points.append(p)
+    values = [f(p) for p in points]
+    used = n + 1
+    while used < most:
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if max(np.abs(np.array(points[1:]) - points[0]).max(), 0) <= x_tol and max(abs(v - values[0]) for v in values) <= f_tol:
+            break
+        middle = np.mean(points[:-1], axis=0)
+        try_at = lambda r: middle + r * (middle - points[-1])  # noqa: B023, E731
+        p = try_at(1.0)
+        v = f(p)
+        used += 1
+        if v < values[0]:
+            far = try_at(2.0)
+            w = f(far)
+            used += 1
+            p, v = (far, w) if w < v else (p, v)
+        elif v >= values[-2]:
+            near = try_at(0.5 if v < values[-1] else -0.5)
+            w = f(near)
+            used += 1
+            if w < min(v, values[-1]) or (v < values[-1] and w <= v):
+                p, v = near, w
+            else:
+                points = [points[0], *((points[0] + q) / 2 for q in points[1:])]
+                values = [values[0], *(f(q) for q in points[1:])]
+                used += n
+                continue
+        points[-1], values[-1] = p, v
+    return points[int(np.argmin(values))]
+
+
+def refine(target: list[np.ndarray], model: list[np.ndarray], pose: dict, *, anisotropic: bool = False, cap: float | None = None, most: int = 400) -> dict:
+    """Raise the overlap directly. Scales are logs; unequal ones pay half their squared log ratio and a wall beyond the cap.
+
+    ``cap`` set: a run that may stretch on purpose, so only the wall remains.
+    """
+    limit, soft = (math.log(1.15), 0.5) if cap is None else (cap, 0.0)
+
+    def read(v: np.ndarray) -> dict:
+        return {"theta": v[0], "t": v[1:3], "sx": math.exp(v[3]), "sy": math.exp(v[-1])}
+
+    def cost(v: np.ndarray) -> float:
+        p = read(v)
+        ratio = abs(v[3] - v[-1])
+        return -iou([place(r, p) for r in model], target) + 1e3 * max(0.0, ratio - limit) ** 2 + soft * ratio * ratio
+
+    scales = [math.log(pose["sx"]), math.log(pose["sy"])] if anisotropic else [math.log((pose["sx"] + pose["sy"]) / 2)]
+    return read(nelder_mead(cost, np.array([pose["theta"], *pose["t"], *scales]), most))
+
+
+def solve(target: list[np.ndarray], model: list[np.ndarray], *, k: int | None = None, use_icp: bool = True, use_refine: bool = True, anisotropic: bool = False, cap: float | None = None) -> dict:
+    """Candidates, the chosen or best one, then refinement; pose and quality. Rings: outer first, then holes."""
+    found = candidates(ombb(target[0]), ombb(model[0]))
+    scores = [iou([place(r, c) for r in model], target) for c in found]
+    order = sorted(range(4), key=lambda i: (-scores[i], i))
+    pose = found[order[0] if k is None else k]
+    if use_icp:
+        pose = icp(target[0], model[0], pose)
+    if use_refine:
+        pose = refine(target, model, pose, anisotropic=anisotropic, cap=cap)
+    placed = [place(r, pose) for r in model]
+    own = polygon_area(target)
+    return {
+        "k": int(order[0] if k is None else k), "theta": float(pose["theta"]), "sx": float(pose["sx"]), "sy": float(pose["sy"]), "tx": float(pose["t"][0]), "ty": float(pose["t"][1]),
+        "iou": iou(placed, target), "hausdorff_m": hausdorff(placed[0], target[0]), "area_ratio": polygon_area(placed) / own if own > 1e-9 else 0.0,
+        "margin": float(scores[order[0]] - scores[order[1]]), "aniso": abs(math.log(pose["sx"] / pose["sy"])),
+    }
+
+
+def simplify(ring: np.ndarray, eps: float = 0.4) -> np.ndarray:
+    """Douglas-Peucker on a closed ring; the input where too little would remain."""
+    closed = np.vstack([ring, ring[:1]])
+    keep, work = {0, len(ring)}, [(0, len(ring))]
+    while work:
+        a, b = work.pop()
+        if b - a < 2:
+            continue
+        p, d = closed[a + 1 : b], closed[b] - closed[a]
+        n = math.hypot(*d)
+        gap = np.abs((p - closed[a]) @ [-d[1], d[0]]) / n if n > 1e-12 else np.hypot(*(p - closed[a]).T)
+        i = int(gap.argmax())
+        if gap[i] > eps:
+            keep.add(a + 1 + i)
+            work += [(a, a + 1 + i), (a + 1 + i, b)]
+    out = closed[sorted(keep)[:-1]]
+    return out if len(out) >= 3 and abs(area(out)) > 1e-9 else ring
+
+
+def stitch(parts: list[list[tuple]]) -> list[list[tuple]]:
+    """Closed rings from open ways: each end is a node, and a ring is a walk that takes the first unused way at its end.
+
+    Closed ways of four points or more stand alone. A walk that finds no further way turns to its other end; one
+    that stays open is closed if it has four points.
+    """
+    rings = [list(p) for p in parts if len(p) >= 4 and p[0] == p[-1]]
+    ways = [list(p) for p in parts if len(p) >= 2 and p[0] != p[-1]]
+    used = [False] * len(ways)
+    at: dict[tuple, list[int]] = {}
+    for i, way in enumerate(ways):
+        for end in (way[0], way[-1]):
+            at.setdefault(end, []).append(i)
+
+    def grow(chain: list[tuple]) -> None:
+        while chain[0] != chain[-1]:
+            i = next((i for i in at[chain[-1]] if not used[i]), None)
+            if i is None:
+                return
+            used[i] = True
+            chain += (ways[i] if ways[i][0] == chain[-1] else ways[i][::-1])[1:]
+
+    for i in range(len(ways)):
+        if used[i]:
+            continue
+        used[i] = True
+        chain = list(ways[i])
+        grow(chain)
+        if chain[0] != chain[-1]:
+            chain.reverse()
+            grow(chain)
+        if len(chain) >= 4 or chain[0] != chain[-1] and len(chain) == 3:
+            if chain[0] != chain[-1]:
+                chain.append(chain[0])
+            if len(chain) >= 4:
+                rings.append(chain)
+    return rings
+
+
+def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairwise, of (n, 4) and (m, 4) boxes."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    common = np.prod(np.maximum(high - low, 0), axis=2)
+    size = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
+    return common / np.maximum(size(a)[:, None] + size(b)[None, :] - common, 1e-300)
+
+
+def suppress(boxes: np.ndarray, scores: np.ndarray, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """(survivors, their scores): greedy by best score; a survivor takes the class-wise maximum of what it suppressed."""
+    order = np.argsort(-scores.max(1), kind="stable")
+    kept: list[int] = []
+    merged: list[np.ndarray] = []
+    for i in order:
+        near = np.flatnonzero(box_iou(boxes[i : i + 1], boxes[kept])[0] >= threshold) if kept else ()
+        if len(near):
+            merged[near[0]] = np.maximum(merged[near[0]], scores[i])
+        else:
+            kept.append(int(i))
+            merged.append(scores[i].copy())
+    return np.array(kept, int), np.array(merged)
+
+
+def assign(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Least-cost one-to-one assignment by shortest augmenting paths (Jonker-Volgenant); rows <= columns or transposed."""
+    if cost.shape[0] > cost.shape[1]:
+        return sorted((r, c) for c, r in assign(cost.T))
+    n, m = cost.shape
+    u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], j, least, seen = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while True:
+            seen[j] = True
+            free = ~seen
+            free[0] = False
+            reduced = cost[match[j] - 1] - u[match[j]] - v[1:]
+            better = free[1:] & (reduced < least[1:])
+            least[1:][better] = reduced[better]
+            way[1:][better] = j
+            k = int(np.where(free, least, np.inf).argmin())
+            delta = least[k]
+            u[match[seen]] += delta
+            v[seen] -= delta
+            least[free] -= delta
+            j = k
+            if match[j] == 0:
+                break
+        while j:
+            match[j] = match[way[j]]
+            j = way[j]
+    return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
+
+
+def _spread(mask: np.ndarray, grow: bool) -> np.ndarray:
+    """Dilation or erosion by a 3 x 3 cross; outside counts as empty."""
+    m = np.pad(mask, 1)
+    sides = [m[1:-1, 1:-1], m[:-2, 1:-1], m[2:, 1:-1], m[1:-1, :-2], m[1:-1, 2:]]
+    return np.logical_or.reduce(sides) if grow else np.logical_and.reduce(sides)
+
+
+def largest_component(mask: np.ndarray) -> np.ndarray:
+    """The largest 4-connected region, by spreading each cell's smallest label until nothing changes."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    big = mask.size + 2
+    while True:
+        m = np.pad(np.where(mask, label, big), 1, constant_values=big)
+        new = np.where(mask, np.minimum.reduce([m[1:-1, 1:-1], m[:-2, 1:-1], m[2:, 1:-1], m[1:-1, :-2], m[1:-1, 2:]]), 0)
+        if (new == label).all():
+            break
+        label = new
+    if not mask.any():
+        return mask
+    values, counts = np.unique(label[mask], return_counts=True)
+    return label == values[counts.argmax()]
+
+
+def trace(mask: np.ndarray) -> np.ndarray:
+    """Outer boundary of a region along cell sides, counter-clockwise, as (x, y) corners."""
+    m = np.pad(mask, 1)
+    steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for y, x in np.argwhere(m):
+        for (ny, nx), a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
+            if not m[ny, nx]:
+                steps.setdefault((int(a[0]), int(a[1])), []).append((int(b[0]), int(b[1])))
+    best = np.zeros((0, 2))
+    while steps:
+        start = min(steps)
+        ring, here = [start], start
+        while True:
+            following = steps[here]
+            nxt = following.pop()
+            if not following:
+                del steps[here]
+            if nxt == start:
+                break
+            ring.append(nxt)
+            here = nxt
+        ring = np.array(ring, float) - 1
+        if not len(best) or abs(area(ring)) > abs(area(best)):
+            best = ring
+    return best
+
+
+def ground_outline(points: np.ndarray, cells: int = 64, eps: float = 1.0) -> np.ndarray:
+    """Outline of a plan-view point cloud: grid along its box, close, open, largest region, boundary, simplified."""
+    box = ombb(points)
+    turn = rotation(-box["angle"])
+    local = (points - box["centre"]) @ turn.T
+    size = max(box["a"], 1e-9) / cells
+    index = np.floor((local - local.min(0)) / size).astype(int) + 2
+    mask = np.zeros(tuple(index.max(0)[::-1] + 3), bool)
+    mask[index[:, 1], index[:, 0]] = True
+    mask = _spread(_spread(mask, True), False)
+    mask = _fill(mask)
+    opened = _spread(_spread(mask, False), True)
+    mask = largest_component(opened if opened.any() else mask)
+    ring = simplify(trace(mask), eps) - 2
+    return (ring * size + local.min(0)) @ turn + box["centre"]
+
+
+def _fill(mask: np.ndarray) -> np.ndarray:
+    """Holes filled: everything that the outside doesn't reach."""
+    outside = np.zeros_like(mask)
+    outside[0], outside[-1], outside[:, 0], outside[:, -1] = ~mask[0], ~mask[-1], ~mask[:, 0], ~mask[:, -1]
+    while True:
+        more = _spread(outside, True) & ~mask
+        if (more == outside).all():
+            return ~outside
+        outside = more
+
+
+# ------------------------------------------------------------------ benchmark corruptions
+
+
+def corrupt(ring: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """One of clean, noise, lobe, missing_wing, anisotropy, mirror, mislabel_90 applied to a model's ring."""
+    size = math.sqrt(abs(area(ring)))
+    if kind == "noise":
+        return ring + rng.normal(0, 0.5, ring.shape)
+    if kind == "lobe":
+        turn = np.linspace(0, 2 * math.pi, 24, endpoint=False)
+        at = ring[int(rng.integers(len(ring)))]
+        return hull(np.vstack([ring, at + 0.18 * size * np.column_stack([np.cos(turn), np.sin(turn)])]))
+    if kind == "missing_wing":
+        low, high = ring.min(0), ring.max(0)
+        corner = high - 0.4 * (high - low)
+        cut = np.array([low, [high[0], low[1]], [high[0], corner[1]], corner, [corner[0], high[1]], [low[0], high[1]]])
+        return cut if intersection_area([cut], [ring]) > 0.5 * abs(area(ring)) else ring
+    if kind == "anisotropy":
+        return ring * [1.15, 1.0]
+    if kind == "mirror":
+        return (ring * [-1.0, 1.0])[::-1]
+    if kind == "mislabel_90":
+        return ring @ rotation(math.pi / 2).T
+    return ring
