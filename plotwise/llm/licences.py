@@ -157,7 +157,7 @@ def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         labels.add(label)
                 found = index.scan(words)
                 score = 1.0 if labels else max(found.values(), default=0.0)
-                out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), min(1.0, score)))
+                out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(found))), min(1.0, round(score, 9))))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
