@@ -65,7 +65,7 @@ def _between(least: int, most: int) -> Callable[[Column], Column]:
 # starts at the run's first character anyway, and each run is read once.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _has("@"), lambda m: F.lit(True), context=("mail", "contact", "write")),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _matches(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), lambda m: m.rlike(r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), context=("ip", "address", "host")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _matches(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), context=("ip", "address", "host")),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])", _matches(r"[0-9](?:[ -]?[0-9]){13}"), luhn, score=1.0, context=("card", "visa", "credit")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _matches(r"\+[0-9]"), _between(10, 15), context=("phone", "tel", "call")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _matches(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), mod97, base=False, score=0.9, context=("iban", "account", "bank")),
