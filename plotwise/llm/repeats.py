@@ -66,7 +66,7 @@ class Parser:
         length, gram, n = self.length, self.gram, len(sums) - 1
         if n < length:
             return tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int64))
-        least = _mixed((sums[gram:] - sums[:-gram]) * self.inverse[: n - gram + 1]) >> U(24)
+        least = _mixed((sums[gram:] - sums[:-gram]) * self.inverse[: n - gram + 1])
         span, wanted = 1, length - gram + 1
         while span * 2 <= wanted:
             least = np.minimum(least[:-span], least[span:])
@@ -92,7 +92,8 @@ class Parser:
         size = z - a + 1
         phrase = _mixed((sums[z + length] - sums[a]) * self.inverse[a] + size.astype(U) * U(_MIX))
         phrase[phrase == 0] = U(1)
-        return trigger[first], phrase, np.searchsorted(bounds, a, side="right") - 1, a, size
+        # Minima crowd at the low end; mixed again and cut to 40 bits they lie evenly, and pack well.
+        return _mixed(trigger[first]) >> U(24), phrase, np.searchsorted(bounds, a, side="right") - 1, a, size
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -113,12 +114,14 @@ def unpack(raw: bytes, kind: type) -> np.ndarray:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted integers as packed differences."""
-    return pack(np.diff(values, prepend=values.dtype.type(0)))
+    """Sorted integers as the first and packed differences."""
+    return int(values[0]).to_bytes(8, "little") + pack(np.diff(values)) if len(values) else b""
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw, U), dtype=U)
+    if not raw:
+        return np.zeros(0, U)
+    return np.cumsum(np.concatenate(([U(int.from_bytes(raw[:8], "little"))], unpack(raw[8:], U))), dtype=U)
 
 
 class Part:
