@@ -298,11 +298,8 @@ def stitch(parts: list[list[tuple]]) -> list[list[tuple]]:
         if chain[0] != chain[-1]:
             chain.reverse()
             grow(chain)
-        if len(chain) >= 4 or chain[0] != chain[-1] and len(chain) == 3:
-            if chain[0] != chain[-1]:
-                chain.append(chain[0])
-            if len(chain) >= 4:
-                rings.append(chain)
+        if len(chain) >= 4:
+            rings.append(chain if chain[0] == chain[-1] else [*chain, chain[0]])
     return rings
 
 

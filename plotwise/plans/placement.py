@@ -456,3 +456,13 @@ def benchmark_rows(spark, d, reps: int = 1):
 def solver_benchmark(spark, d):
     rows = benchmark_rows(spark, d)
     return rows.groupBy("config", "corruption").agg(F.count("*").alias("n"), F.percentile("gt_iou", F.lit(0.5)).alias("gt_iou_med"), F.percentile("iou", F.lit(0.5)).alias("iou_med"), F.percentile("hausdorff_m", F.lit(0.9)).alias("haus_p90"), F.avg((F.col("rot_err_deg") < 10).cast("double")).alias("orient_ok"), F.avg("label").alias("good"))
+
+
+@query("leave_one_building_out")
+def leave_one_building_out(spark, d):
+    """Accuracy of the learned gate on the solver benchmark, every building scored by a model of the others."""
+    from plotwise.operators import learn
+    from plotwise.operators.evaluate import metrics
+
+    scored = learn.leave_one_out(benchmark_rows(spark, d), ["iou", "hausdorff_m"], groups=table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("fold")))
+    return metrics(scored.select("p", "label"))
