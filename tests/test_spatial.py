@@ -281,3 +281,50 @@ def test_flagship_and_catalogue(spark, sf):
 
     assert entry.entry(spark).count() > 0
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) >= 70
+
+
+def test_up_axis_prefers_the_prior_and_finds_the_base():
+    rng = np.random.default_rng(0)
+    tall = np.column_stack([rng.uniform(-1, 1, 4000), rng.uniform(0, 5, 4000), rng.uniform(-1, 1, 4000)])
+    assert kernels.up_axis(tall) == (1, 1)
+    assert kernels.up_axis(tall * [1, -1, 1]) == (1, -1)
+    t = rng.uniform(0, 1, 4000)
+    turn = rng.uniform(0, 2 * math.pi, 4000)
+    cone = np.column_stack([t * np.cos(turn), rng.uniform(-0.3, 0.3, 4000) * t, 3 + 6 * t])  # only even along y within its wedge
+    assert kernels.prismatic_score(cone, 2) < kernels.prismatic_score(tall, 1)
+    p, high = kernels.canonical(tall, 1, 1)
+    assert abs(p[:, :2].mean()) < 1e-9 and np.percentile(p[:, 2], 1) == pytest.approx(0) and high == pytest.approx(4.9, abs=0.1)
+
+
+def test_shelves_never_overlap():
+    from plotwise.operators import texture
+
+    sizes = [(int(w), int(h)) for w, h in np.random.default_rng(2).integers(5, 60, (40, 2))]
+    places, (wide, tall) = texture.shelves(sizes, 256)
+    boxes = [(x, y, x + w, y + h) for (x, y), (w, h) in zip(places, sizes, strict=True)]
+    assert all(0 <= a and 0 <= b and c <= wide and d <= tall for a, b, c, d in boxes)
+    for i, a in enumerate(boxes):
+        for b in boxes[:i]:
+            assert a[2] <= b[0] or b[2] <= a[0] or a[3] <= b[1] or b[3] <= a[1]
+    assert texture.shelves([(300, 10)], 256) is None
+
+
+def test_camera_rays_and_projection_are_inverse(spark):
+    from plotwise.operators import camera
+
+    c = [F.lit(30.0), F.lit(5.0), F.lit(900.0), F.lit(1000.0), F.lit(800.0)]
+    d = camera.ray(*c, F.lit(120.0), F.lit(640.0))
+    px, py = camera.project(*c, tuple(x * 7.0 for x in d))
+    behind = camera.project(*c, tuple(x * -7.0 for x in d))[0]
+    r = one(spark, px=px, py=py, behind=behind)
+    assert (r["px"], r["py"]) == pytest.approx((120.0, 640.0)) and r["behind"] is None
+
+
+def test_holes_by_join_and_by_window_agree(spark):
+    from plotwise.operators import texture
+
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(w, r, c, bool(rng.random() < 0.4)) for w in range(2) for r in range(12) for c in range(6)], "wall int, row int, col int, visible boolean")
+    a, b = texture.interior_holes(frame, "wall"), texture.running_rows(frame, "wall")
+    key = lambda f: sorted((r["wall"], r["row"], r["col"]) for r in f.collect())
+    assert key(a) == key(b) and key(a)
