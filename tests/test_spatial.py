@@ -300,13 +300,13 @@ def test_shelves_never_overlap():
     from plotwise.operators import texture
 
     sizes = [(int(w), int(h)) for w, h in np.random.default_rng(2).integers(5, 60, (40, 2))]
-    places, (wide, tall) = texture.shelves(sizes, 256)
+    places, (wide, tall) = texture.shelves(sizes, 512)
     boxes = [(x, y, x + w, y + h) for (x, y), (w, h) in zip(places, sizes, strict=True)]
     assert all(0 <= a and 0 <= b and c <= wide and d <= tall for a, b, c, d in boxes)
     for i, a in enumerate(boxes):
         for b in boxes[:i]:
             assert a[2] <= b[0] or b[2] <= a[0] or a[3] <= b[1] or b[3] <= a[1]
-    assert texture.shelves([(300, 10)], 256) is None
+    assert texture.shelves([(600, 10)], 512) is None
 
 
 def test_camera_rays_and_projection_are_inverse(spark):
