@@ -161,3 +161,32 @@ def atlas_shelves(spark, d):
         return pa.table({"photo": t["photo"], "box": t["box"], "x": pa.array([p[0] for p in places], pa.int32()), "y": pa.array([p[1] for p in places], pa.int32()), "wide": pa.array([wide] * len(sizes), pa.int32()), "tall": pa.array([tall] * len(sizes), pa.int32())})
 
     return boxes(spark, d).select("photo", "box", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h")).groupBy("photo").applyInArrow(run, "photo long, box long, x int, y int, wide int, tall int")
+
+
+@query("camera_fit")
+def camera_fit(spark, d):
+    """Camera offsets recovered from the silhouette of one L prism a nation, over a small grid."""
+    r = l_rings(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")), "id", "left_semi").select("id", "ring").repartition(8, "id")
+
+    def run(id, ring):  # noqa: A002
+        p = np.array([(q["x"], q["y"]) for q in ring])
+        at = p.mean(0) - [0, 90]
+        cam = {"position": np.array([*at, 1.7]), "yaw": 0.0, "pitch": 5.0, "f": 60.0}
+        truth = cam | {"yaw": 2.0, "position": cam["position"] + [4.0, 0.0, 0.0]}
+        fit = kernels.fit_camera(p, 12.0, kernels.silhouette(p, 12.0, truth, 64, 48), cam, yaws=np.arange(-4, 5, 2.0), pitches=np.array([0.0]), shifts=np.arange(-8, 9, 4.0), fine=np.array([-2.0, 0.0, 2.0]))
+        return id, fit["iou"], fit["yaw"], fit["dx"], fit["dy"]
+
+    from plotwise.plans.placement import kernel_rows
+
+    return kernel_rows(r, run, "id long, iou double, yaw double, dx double, dy double", "id", "ring")
+
+
+@query("roof_frames")
+def roof_frames(spark, d):
+    from plotwise.plans.placement import kernel_rows
+
+    def run(id, ring):  # noqa: A002
+        _, (low, high) = kernels.roof_frame(np.array([(q["x"], q["y"]) for q in ring]))
+        return id, round(float(high[0] - low[0]), 6), round(float(high[1] - low[1]), 6)
+
+    return kernel_rows(l_rings(spark, d), run, "id long, along double, across double", "id", "ring")

@@ -328,3 +328,25 @@ def test_holes_by_join_and_by_window_agree(spark):
     a, b = texture.interior_holes(frame, "wall"), texture.running_rows(frame, "wall")
     key = lambda f: sorted((r["wall"], r["row"], r["col"]) for r in f.collect())
     assert key(a) == key(b) and key(a)
+
+
+def test_silhouettes_and_camera_fit():
+    cam = {"position": np.array([15.0, -60.0, 1.7]), "yaw": 0.0, "pitch": 5.0, "f": 60.0}
+    mask = kernels.silhouette(RECT, 12.0, cam, 64, 48)
+    rows = np.flatnonzero(mask.any(1))
+    assert mask.any() and not mask.all() and abs(np.flatnonzero(mask.any(0)).mean() - 31.5) < 1
+    assert 48 / 2 - 60 * (12 - 1.7) / 60 - 1 < rows.min() + 60 * math.tan(math.radians(5)) + 6
+    assert not kernels.silhouette(RECT, 12.0, cam | {"yaw": 180.0}, 64, 48).any()
+    truth = cam | {"yaw": 4.0, "position": cam["position"] + [-4.0, 0, 0]}
+    fit = kernels.fit_camera(RECT, 12.0, kernels.silhouette(RECT, 12.0, truth, 64, 48), cam, yaws=np.arange(-8, 9, 4.0), pitches=np.array([0.0]), shifts=np.array([-8.0, -4.0, 0.0, 4.0, 8.0]), fine=np.array([-1.0, 0.0, 1.0]))
+    assert fit["iou"] == 1.0 and (fit["yaw"], fit["dx"]) == (4.0, -4.0) and fit["reliable"]
+    assert kernels.mask_iou(np.zeros((2, 2), bool), np.zeros((2, 2), bool)) == 0.0
+
+
+def test_near_clip_roof_and_weights():
+    square = np.array([[-1, 0, -1], [1, 0, -1], [1, 0, 1], [-1, 0, 1]], float)
+    assert kernels.clip_near(square)[:, 2].min() == pytest.approx(0.1) and len(kernels.clip_near(square - [0, 0, 5])) == 0
+    axes, (low, high) = kernels.roof_frame(moved(RECT, 0.4, 1, 3, 3))
+    assert high - low == pytest.approx([30, 18]) and abs(axes @ axes.T - np.eye(2)).max() < 1e-9
+    w = kernels.blend_weights((20, 30), (True, False, False, True), 5)
+    assert w[0, 0] == pytest.approx(0.02) and w[19, 0] == 1.0 and w[19, 29] == pytest.approx(0.02)
