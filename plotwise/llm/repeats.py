@@ -10,6 +10,7 @@ phrase are opened, and their suffixes of window length are sorted likewise; ever
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -323,7 +324,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield b, order[cuts[b] : cuts[b + 1]]
 
     def open_up(texts: pa.Table, reply: pa.Table) -> pa.Table:
-        part = part_of(texts["doc_id"].to_pylist(), texts["raw"].to_pylist())
+        part = part_of(texts["doc_id"].to_pylist(), [zlib.decompress(r) for r in texts["raw"].to_pylist()])
         hashes, smallest = part.distinct_windows(part.codes(replies(reply)[0], buckets))
         number = texts["part"][0].as_py() if len(texts) else 0
         out = [(b, number, hashes[at].tobytes(), pack(smallest[at])) for b, at in routed(hashes)]
@@ -342,8 +343,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return _table([(r["part"], r["bucket"], 2, np.packbits(flags[e - len(x) : e]).tobytes()) for r, x, e in zip(sent, hashes, ends, strict=True)], (pa.int64(), pa.int32(), pa.int32(), pa.binary()), _REPLY)
 
     def finish(texts: pa.Table, reply: pa.Table) -> pa.Table:
-        ids, raws = texts["doc_id"].to_pylist(), texts["raw"].to_pylist()
-        part = part_of(ids, raws)
+        part = part_of(texts["doc_id"].to_pylist(), [zlib.decompress(r) for r in texts["raw"].to_pylist()])
         code_reply, flag_reply = replies(reply)
         code = part.codes(code_reply, buckets)
         hashes, smallest = part.distinct_windows(code)
@@ -358,7 +358,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append((None if doc_id == _LAST else doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return _table(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), _RESULT)
 
-    parts = rows.select("doc_id", "raw", "part").repartition(buckets, "part").groupBy("part")
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = pa.array([zlib.compress(r, 1) for r in batch.column(1).to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column(0), raws, batch.column(2)], names=["doc_id", "raw", "part"])
+
+    # Texts cross the network once, compressed harder than a shuffle would; both later passes read that shuffle.
+    small = rows.select("doc_id", "raw", "part").mapInArrow(shrink, "doc_id long, raw binary, part long")
+    parts = small.repartition(buckets, "part").groupBy("part")
     windows = parts.cogroup(codes.groupBy("part")).applyInArrow(open_up, "bucket int, part long, hashes binary, docs binary")
     flags = windows.groupBy("bucket").applyInArrow(compare, _REPLY)
     return parts.cogroup(codes.unionAll(flags).groupBy("part")).applyInArrow(finish, _RESULT)
