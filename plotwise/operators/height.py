@@ -37,8 +37,15 @@ def sane(h: Column, area: Column) -> Column:
 
 
 def resolve(height_tag: Column, levels_tag: Column, microsoft: Column, depth: Column, units: Column, scale: Column, area: Column) -> Column:
-    """STRUCT<height_m, source, notes>; notes name disagreements of over 30 % with a tag and what was passed over."""
-    osm, osm_source = from_osm(height_tag, levels_tag)
+    """``resolve_from`` with the tags read in place."""
+    return resolve_from(*from_osm(height_tag, levels_tag), microsoft, depth, units, scale, area)
+
+
+def resolve_from(osm: Column, osm_source: Column, microsoft: Column, depth: Column, units: Column, scale: Column, area: Column) -> Column:
+    """STRUCT<height_m, source, notes>; notes name disagreements of over 30 % with a tag and what was passed over.
+
+    ``osm`` and ``osm_source`` are best columns of an earlier projection: they come up often, and parsing is dear.
+    """
     ms, depth_ok = from_microsoft(microsoft), F.coalesce(sane(depth, area), F.lit(False))
     far = lambda other: osm.isNotNull() & (other > 0) & (F.abs(other - osm) / osm > 0.30)
     no_tag = osm.isNull()

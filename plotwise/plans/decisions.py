@@ -197,8 +197,10 @@ def heights(spark, d):
     tag, levels = F.when(k % 3 != 1, length_tag()), F.when(k % 3 == 0, (k % 9).cast("string"))
     ms = F.when(k % 4 == 0, -1.0).otherwise(2.0 + k % 30)
     area = 100.0 + F.col("p_size") * 20
-    h = height.resolve(tag, levels, ms, F.when(k % 2 == 0, (k % 50).cast("double")), area, F.lit(0.02), area)
-    return table(spark, d, "part").select(k.alias("id"), h.alias("h"))
+    osm, source = height.from_osm(tag, levels)
+    read = table(spark, d, "part").select(k.alias("id"), osm.alias("osm"), source.alias("osm_source"), ms.alias("ms"), F.when(k % 2 == 0, (k % 50).cast("double")).alias("depth"), area.alias("area"))
+    a = F.col("area")
+    return read.select("id", height.resolve_from(F.col("osm"), F.col("osm_source"), F.col("ms"), F.col("depth"), a, F.lit(0.02), a).alias("h"))
 
 
 @query("height_chain", "WITH " + _H + " SELECT id, round(height_m,6) AS height_m, source, notes::INTEGER AS notes FROM h2")
