@@ -112,12 +112,12 @@ def osm_length(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(s.parse_osm_length(length_tag()), 6).alias("metres"))
 
 
-@query("names_match", """WITH a AS (SELECT p_partkey, p_name, (p_partkey%30)::VARCHAR AS number, CASE WHEN p_partkey%3=0 THEN (p_partkey%20)::VARCHAR||' main street' WHEN p_partkey%3=1 THEN 'old '||p_name||', campus' ELSE 'drillfield drive, '||split_part(p_name,' ',2) END AS address FROM part),
+@query("names_match", """WITH a AS (SELECT p_partkey, p_name, (p_partkey%30)::VARCHAR AS number, CASE WHEN p_partkey%3=0 THEN (p_partkey%20)::VARCHAR||' main street' WHEN p_partkey%3=1 THEN 'old '||p_name||', campus' ELSE 'garden drive, '||split_part(p_name,' ',2) END AS address FROM part),
 w AS (SELECT *, list_filter(string_split(lower(p_name),' '), lambda x: length(x)>3 AND x NOT IN ('hall','building','center','centre')) AS words FROM a)
 SELECT p_partkey, (coalesce(regexp_extract(address,'^([0-9]+)(\\s|$)',1)=number,false) OR contains(lower(address),lower(p_name)) OR (len(words)>0 AND len(list_filter(words, lambda x: contains(lower(address),x)))=len(words))) AS matches FROM w""")
 def names_match(spark, d):
     k = F.col("p_partkey")
-    address = F.when(k % 3 == 0, F.concat((k % 20).cast("string"), F.lit(" main street"))).when(k % 3 == 1, F.concat(F.lit("old "), F.col("p_name"), F.lit(", campus"))).otherwise(F.concat(F.lit("drillfield drive, "), F.split("p_name", " ")[1]))
+    address = F.when(k % 3 == 0, F.concat((k % 20).cast("string"), F.lit(" main street"))).when(k % 3 == 1, F.concat(F.lit("old "), F.col("p_name"), F.lit(", campus"))).otherwise(F.concat(F.lit("garden drive, "), F.split("p_name", " ")[1]))
     return table(spark, d, "part").select("p_partkey", s.names_match(F.col("p_name"), (k % 30).cast("string"), address).alias("matches"))
 
 
