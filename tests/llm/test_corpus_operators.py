@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from plotwise.llm import embeddings, mixing, quality, repeats, simhash
+from plotwise.llm import embeddings, mixing, quality, repeats, simhash, similar
 from plotwise.llm.components import components
 from tests.llm import fixtures as fx
 
@@ -83,6 +83,51 @@ def test_keep_one_keeps_columns_and_one_of_each(spark):
     assert sorted(kept) == sorted(heads)
 
 
+def plain_similarity(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if any(sets) else 1.0
+
+
+def near_copies():
+    """Texts with copies that differ in some words, above and below a similarity of 0.8, and chains of them."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    out = []
+    for changes in (1, 2, 3, 4, 5, 6, 8) * 3:
+        base = words(200)
+        out.append(" ".join(base))
+        for _ in range(4):
+            for at in rng.sample(range(200), changes):
+                base[at] = "changed"
+            out.append(" ".join(base))
+    return out
+
+
+def test_stage_joins_near_copies_by_similarity(spark, sf):
+    import corpus_pipeline as cp
+
+    texts = near_copies()
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    assert 20 < len(edges)
+    want = set(smallest(list(range(len(texts))), grouped(len(texts), edges)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    got = [r["doc_id"] for r in cp.near_duplicates(spark, frame, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_linker_matches_all_pairs():
+    texts = near_copies()
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    linker = similar.Linker(0.8)
+    for t in texts:
+        found = similar.shingle_set(t)
+        linker.add(found, similar.bands(found).tolist())
+    assert smallest(list(range(len(texts))), [linker.root(i) for i in range(len(texts))]) == smallest(list(range(len(texts))), grouped(len(texts), edges))
+
+
 def plain_counts(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
