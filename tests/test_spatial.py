@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotwise import catalogue, kernels
+from plotwise import catalogue, derive, kernels
 from plotwise.functions import coords, rings, strings
 from plotwise.operators import detect, evaluate, gate, height, learn, orient, select
 
@@ -350,3 +350,24 @@ def test_near_clip_roof_and_weights():
     assert high - low == pytest.approx([30, 18]) and abs(axes @ axes.T - np.eye(2)).max() < 1e-9
     w = kernels.blend_weights((20, 30), (True, False, False, True), 5)
     assert w[0, 0] == pytest.approx(0.02) and w[19, 0] == 1.0 and w[19, 29] == pytest.approx(0.02)
+
+
+def test_solvers_take_every_ring(spark, sf):
+    rings = {r["id"] for r in derive.l_rings(spark, sf).select("id").collect()}
+    for name in ("icp_solve", "nelder_mead_solve", "camera_fit"):
+        assert sorted(r["id"] for r in catalogue.QUERIES[name](spark, sf).collect()) == sorted(rings)
+    assert {r["n"] for r in catalogue.QUERIES["solver_benchmark"](spark, sf).select(F.col("n")).collect()} == {len(rings)}
+
+
+def test_leave_one_out_matches_one_fit_a_fold(spark):
+    rng = np.random.default_rng(3)
+    g, x = rng.integers(0, 30, 300), rng.normal(size=300)
+    y = (x + rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(g, x, y, strict=True)], "building_id long, f double, label int")
+    got = sorted((r["group"], round(r["p"], 9)) for r in learn.leave_one_out(rows, ["f"], tasks=7).collect())
+    want = []
+    for k in np.unique(g):
+        own = g == k
+        p = learn.probability(learn.fit(x[~own, None], y[~own].astype(float)), x[own, None])
+        want += [(int(k), round(float(v), 9)) for v in p]
+    assert got == sorted(want)
