@@ -14,8 +14,8 @@ from plotwise.llm.common import id_and_text, slices
 ORDERS = (3, 4, 5, 6)
 
 
-def buckets(text: str, bits: int) -> np.ndarray:
-    """Bucket of every n-gram of the lower-cased text's UTF-8 bytes, with a space before and after; n as in ORDERS."""
+def grams(text: str) -> np.ndarray:
+    """Every distinct n-gram of the lower-cased text's UTF-8 bytes, with a space before and after; n as in ORDERS. Exact: n and its bytes in one integer, sorted."""
     raw = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8).astype(np.uint64)
     out = []
     for n in ORDERS:
@@ -24,71 +24,88 @@ def buckets(text: str, bits: int) -> np.ndarray:
         key = np.full(len(raw) - n + 1, n, np.uint64)
         for i in range(n):
             key = (key << np.uint64(8)) | raw[i : len(raw) - n + 1 + i]
-        out.append((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+        out.append(key)
+    if not out:
+        return np.zeros(0, np.uint64)
+    found = np.sort(np.concatenate(out))
+    return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
 
-class Presence:
-    """Distinct buckets of one text after another, over one reused table of flags."""
+def buckets(found: np.ndarray, bits: int) -> np.ndarray:
+    return ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def __init__(self, bits: int):
-        self.bits, self.flags = bits, np.zeros(1 << bits, bool)
 
-    def __call__(self, text: str) -> np.ndarray:
-        found = buckets(text, self.bits)
-        self.flags[found] = True
-        distinct = np.flatnonzero(self.flags)
-        self.flags[distinct] = False
-        return distinct
+def places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``keys`` are in the sorted ``found``."""
+    if not len(keys) or not len(found):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    return np.flatnonzero(found[at] == keys)
 
 
-def fit(pairs: list[tuple[str, int]], bits: int, *, rounds: int = 80, least_z: float = 6.0, smooth: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights by bucket and a bias, from (text, label) pairs: logistic regression on ratio-scaled presence.
+def deviations(counts: np.ndarray, base: float) -> np.ndarray:
+    """How many standard deviations each toxic count lies from what the base rate predicts; ``counts`` has a row a label."""
+    every = counts.sum(0)
+    return np.where(every >= 3, np.abs(counts[1] - every * base) / np.sqrt(np.maximum(every * base * (1 - base), 1e-9)), 0.0)
 
-    The ratio of a bucket is log((p + smooth) / |p|) - log((q + smooth) / |q|) with p and q the numbers of toxic
-    and other texts that hold it. Buckets of three texts or more whose toxic count is ``least_z`` standard
-    deviations from what the base rate predicts are features. Two passes over the texts, so only the counts and
-    the features' places are held. Without both classes the weights are zero and the bias is the base rate's.
+
+def fit(pairs: list[tuple[str, int]], bits: int, *, rounds: int = 80, least_z: float = 6.0, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature n-grams (sorted), their weights and a bias, from (text, label) pairs: logistic regression on ratio-scaled presence.
+
+    The ratio of an n-gram is log((p + smooth) / |p|) - log((q + smooth) / |q|) with p and q the numbers of toxic
+    and other texts that hold it. N-grams of three texts or more whose toxic count is ``least_z`` standard
+    deviations from what the base rate predicts are features. Texts are counted in 2^bits buckets first, and
+    n-grams exactly in the buckets that deviate, so a text's other n-grams never count as a feature. A text's sum
+    is divided by the root of its number of distinct n-grams, as long texts hold more features by chance. Three
+    passes over the texts hold only counts and places. Without both classes there are no features and the bias is the base rate's.
     """
-    present = Presence(bits)
-    y = np.array([label for _, label in pairs], np.float64)
-    size, n = 1 << bits, len(pairs)
+    y = np.array([label for _, label in pairs], np.int64)
+    n = len(pairs)
     share = (y.sum() + 0.5) / (n + 1)
+    none = np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share)))
     if not n or y.min() == y.max():
-        return np.zeros(size), float(np.log(share / (1 - share)))
-    counts = np.zeros((2, size))
+        return none
+    base = y.mean()
+    counts = np.zeros((2, 1 << bits), np.int32)
     for text, label in pairs:
-        counts[label, present(text)] += 1
-    other, toxic = counts
-    ratio = np.log((toxic + smooth) / (y.sum() + 2 * smooth)) - np.log((other + smooth) / (n - y.sum() + 2 * smooth))
-    every, base = toxic + other, y.mean()
-    z = (toxic - every * base) / np.sqrt(np.maximum(every * base * (1 - base), 1e-9))
-    keep = (np.abs(z) >= least_z) & (every >= 3)
+        counts[label, buckets(grams(text), bits)] += 1
+    # A rare n-gram's bucket deviates less than the n-gram itself if others share it, so half the deviation opens it.
+    opened = deviations(counts, base) >= least_z / 2
+    held = [(found[opened[buckets(found, bits)]], len(found)) for found in (grams(text) for text, _ in pairs)]
+    keys, owner_counts = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    labels = np.repeat(y, [len(h) for h, _ in held])
+    exact = np.stack([np.bincount(owner_counts[labels == k], minlength=len(keys)) for k in (0, 1)])
+    keep = deviations(exact, base) >= least_z
     if not keep.any():
-        return np.zeros(size), float(np.log(share / (1 - share)))
-    number, scaled = np.cumsum(keep) - 1, ratio[keep]
-    rows = [number[found[keep[found]]].astype(np.int32) for found in (present(text) for text, _ in pairs)]
+        return none
+    keys, (other, toxic) = keys[keep], exact[:, keep]
+    scaled = np.log((toxic + smooth) / (y.sum() + 2 * smooth)) - np.log((other + smooth) / (n - y.sum() + 2 * smooth))
+    rows = [places(keys, h) for h, _ in held]
+    root = np.sqrt(np.maximum([size for _, size in held], 1))
     index, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    scaled = scaled / np.sqrt(np.maximum(np.bincount(owner, scaled[index] ** 2, n).mean(), 1e-9))
+    scaled = scaled / np.sqrt(np.maximum((np.bincount(owner, scaled[index] ** 2, n) / root**2).mean(), 1e-9))
     balance = np.where(y > 0, 0.5 / base, 0.5 / (1 - base))
     v, bias = np.ones(len(scaled)), 0.0
     step_v, step_b = np.zeros(len(scaled)), 0.0
     for _ in range(rounds):  # gradient descent with momentum on the balanced log-loss, with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, (scaled * v)[index], n) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, (scaled * v)[index], n) / root + bias, -30, 30)))
         error = balance * (p - y) / n
-        step_v = 0.9 * step_v - (scaled * np.bincount(index, error[owner], len(scaled)) + 1e-5 * v)
+        step_v = 0.9 * step_v - (scaled * np.bincount(index, (error / root)[owner], len(scaled)) + 1e-5 * v)
         step_b = 0.9 * step_b - error.sum()
         v, bias = v + step_v, bias + step_b
-    weights = np.zeros(size)
-    weights[keep] = scaled * v
-    return weights, float(bias)
+    return keys, scaled * v, float(bias)
+
+
+def logit(text: str, keys: np.ndarray, weights: np.ndarray, bias: float) -> float:
+    found = grams(text)
+    return float(weights[places(keys, found)].sum() / np.sqrt(max(len(found), 1)) + bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, bits: int = 19, most_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, *, bits: int = 22, most_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on a sample of the labelled rows outside the held-out fold.
 
     At most about ``most_rows`` rows, picked by a hash of the id whatever the label; their ids, a few dozen KB, are
-    broadcast to one scan of the documents, and one task fits. It returns 2^bits weights: sizes fixed by parameters.
+    broadcast to one scan of the documents, and one task fits. It returns the feature n-grams, their weights and the bias, as ``fit`` does.
     Ids labelled more than once count as toxic if any label says so; null ids and labels are left out.
     """
     key = F.col(f"`{id_col}`").cast("long")
@@ -101,25 +118,22 @@ def train(docs: DataFrame, labels: DataFrame, *, bits: int = 19, most_rows: int
     texts = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = fit([(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], bits)
-        yield pa.record_batch([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["weights", "bias"])
+        keys, weights, bias = fit([(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], bits)
+        yield pa.record_batch([pa.array([keys.astype("<u8").tobytes()]), pa.array([weights.astype("<f8").tobytes()]), pa.array([bias])], names=["keys", "weights", "bias"])
 
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "doc_id").repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label")
-    model = rows.mapInArrow(run, "weights binary, bias double").first()
+    model = rows.mapInArrow(run, "keys binary, weights binary, bias double").first()
     if model is None:
-        return np.zeros(1 << bits, np.float32), 0.0
-    return np.frombuffer(model["weights"], "<f4"), model["bias"]
+        return np.zeros(0, np.uint64), np.zeros(0), 0.0
+    return np.frombuffer(model["keys"], "<u8"), np.frombuffer(model["weights"], "<f8"), model["bias"]
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted of every whole text, in one narrow pass; the weights travel with the task."""
-    bits = len(weights).bit_length() - 1
-    packed = np.asarray(weights, "<f4").tobytes()
+def score(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score and predicted of every whole text, in one narrow pass; the features travel with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, present = np.frombuffer(packed, "<f4"), Presence(bits)
         for ids, texts in slices(batches):
-            z = np.array([float(w[present(t)].sum(dtype=np.float64)) for t in texts]) + bias
+            z = np.array([logit(t, keys, weights, bias) for t in texts])
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -133,6 +147,6 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     texts are scored like any other (they hold no toxic n-gram); repeated rows are scored each; a null id is not
     held out; without labels of both kinds every score is the base rate; an empty table gives an empty result.
     """
-    weights, bias = train(docs, labels, **options)
+    keys, weights, bias = train(docs, labels, **options)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return score(docs, weights, bias).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return score(docs, keys, weights, bias).select("doc_id", held.alias("held_out"), "score", "predicted")

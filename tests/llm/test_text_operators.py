@@ -188,6 +188,16 @@ def test_toxicity_learns_without_held_out_rows(spark):
             assert r["predicted"] == 0
 
 
+def test_toxicity_leaves_long_clean_texts_alone():
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(n))
+    pairs = [(prose(100) + (" vilescum hatefool " if i % 4 == 0 else " ") + prose(50), int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.fit(pairs, 12)  # far fewer buckets than n-grams in a text
+    for words in (100, 1000, 10_000):
+        assert toxicity.logit(prose(words), *model) < 0
+    assert toxicity.logit(prose(100) + " vilescum hatefool " + prose(50), *model) > 0
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.classify(fx.docs(spark), labels).collect()} <= {0, 1}
