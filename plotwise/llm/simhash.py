@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -130,9 +130,14 @@ def _name_rows(rows: DataFrame, named: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, and of rows with that id the first by text."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head_id")).distinct()
-    kept = docs.join(heads, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("head_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`")))
-    return kept.withColumn("simhash_row", first).where("simhash_row = 1").drop("simhash_row")
+    """One row of each group of near-duplicates: the least by id (nulls last), hash of the text, and place in the table.
+
+    Rows are followed by their place, so null and repeated ids neither join groups nor lose them. ``docs`` must
+    read in the same order each time, as files do.
+    """
+    numbered = docs.withColumn("simhash_row", F.monotonically_increasing_id())
+    groups = near_duplicates(numbered, id_col="simhash_row", text_col=text_col, **options).select(F.col("doc_id").alias("simhash_row"), "component_id")
+    own = numbered.select("simhash_row", F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "simhash_row")
+    kept = own.join(groups, "simhash_row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.simhash_row")
+    return numbered.join(kept, "simhash_row", "left_semi").drop("simhash_row").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -128,6 +128,16 @@ def test_linker_matches_all_pairs():
     assert smallest(list(range(len(texts))), [linker.root(i) for i in range(len(texts))]) == smallest(list(range(len(texts))), grouped(len(texts), edges))
 
 
+def test_stage_keeps_rows_without_or_with_repeated_ids(spark, sf):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, d), (2, c), (3, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (cp.near_duplicates(spark, frame, sf), simhash.keep_one(frame)):
+        assert Counter(tuple(r) for r in out.collect()) == Counter([(None, a), (None, b), (1, c), (2, d), (3, None)])
+
+
 def plain_counts(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
