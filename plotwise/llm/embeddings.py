@@ -194,23 +194,28 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     blocks and joins their intervals recursively, skipping those provably apart. A task sends one degree and one
     tree edge for each of its vectors, never pairs. Cosines are of unit vectors in double precision.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or have a length other than the most
-    common one link with nothing: no links, their own component, kept. Repeated rows link with each other. An
-    empty table gives an empty result; other columns are ignored.
+    Each length present is joined by itself, one after another, as lengths are few. Vectors that are null, empty,
+    zero, or hold null or non-finite components link with nothing: no links, their own component, kept. Repeated
+    rows link with each other. An empty table gives an empty result; other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"))
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))) & F.exists(x, lambda c: c.cast("double") != 0.0)
-    usual = rows.where(finite).groupBy(F.size(x).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    right = F.coalesce(finite & (F.size(x) == (usual["d"] if usual else 0)), F.lit(False))
-    rows = rows.withColumn("right", right)
-    valid = cut(rows.where("right").groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).where("head is not null"))
+    rows = rows.withColumn("length", F.coalesce(F.when(finite, F.size(x)), F.lit(0)))
+    found = rows.where("length = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for row in rows.where("length > 0").select("length").distinct().orderBy("length").collect():
+        found = found.unionAll(_linked(rows.where(F.col("length") == row["length"]).drop("length"), row["length"], threshold, dims, block))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(rows: DataFrame, d: int, threshold: float, dims: int, block: int) -> DataFrame:
+    """vec_id, n_links and component_id of (vec_id, embedding), all of length ``d``, finite and not zero."""
+    spark = rows.sparkSession
+    valid = cut(rows.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).where("head is not null"))
     directions = principal(valid, dims)
     if not len(directions):
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     epsilon = (2 - 2 * threshold) ** 0.5
-    d = usual["d"]
     blocks = _blocks(valid, directions, block, epsilon)
 
     boxes = blocks.select("block", "low", "high")
@@ -252,6 +257,4 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     salts = 16
     copies = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    out = salted.where("right").join(copies, ["embedding", "salt"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    lone = rows.where("not right").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionAll(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return salted.join(copies, ["embedding", "salt"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -311,6 +311,13 @@ def test_embeddings_match_all_pairs(spark):
     assert embeddings.near_duplicates(frame.where("vec_id = 94")).collect()[0]["kept"]
 
 
+def test_embeddings_of_every_length_link(spark):
+    rows = [(i, [1.0, 0.01 * i] if i % 3 else [0.0, 1.0, 0.01 * i]) for i in range(12)] + [(12, [5.0]), (13, None), (14, [0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = {i: (7, 1) if i % 3 else (3, 0) for i in range(12)} | {i: (0, i) for i in (12, 13, 14)}
+    assert got == want
+
+
 def test_ego_join_skips_only_what_is_apart():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 6))
