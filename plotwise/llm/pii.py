@@ -61,6 +61,14 @@ def _between(least: int, most: int) -> Callable[[Column], Column]:
     return lambda m: F.length(digits(m)).between(least, most)
 
 
+#: Characters of an IBAN by country; one of another country, or of another length, is read as far as it goes, 15 to 34.
+_IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_OF_COUNTRY = "|".join(f"(?:{names})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])" for length, names in _IBANS.items())
+
 # A start inside a run of the same class is ruled out, unless the last match ended there (\G): the leftmost match
 # starts at the run's first character anyway, and each run is read once.
 KINDS = (
@@ -68,7 +76,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _matches(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), lambda m: m.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"), context=("ip", "address", "host")),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])", _matches(r"[0-9](?:[ -]?[0-9]){13}"), luhn, score=1.0, context=("card", "visa", "credit")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _matches(r"\+[0-9]"), _between(10, 15), context=("phone", "tel", "call")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _matches(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), mod97, base=False, score=0.9, context=("iban", "account", "bank")),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))", _matches(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), mod97, base=False, score=0.9, context=("iban", "account", "bank")),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", _matches(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.lit(True), base=False, score=0.4, context=("ssn", "social security")),
     Kind("local_phone", r"(?<![0-9+().-])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", _matches(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"), lambda m: F.lit(True), base=False, score=0.4, context=("phone", "tel", "call", "mobile", "fax")),
 )

@@ -79,6 +79,15 @@ def test_personal_data_checksums_and_context(spark):
     assert spans[2] == ""
 
 
+def test_ibans_end_before_capital_or_digit_words(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    rows = [(i, f"IBAN {iban}{tail}") for i, (iban, tail) in enumerate((b, t) for b in ibans for t in (" BIC COBADEFFXXX", " 2024", ".", ""))]
+    spans = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in spans:
+        found = [r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["kind"] == "iban"]
+        assert found == [ibans[r["doc_id"] // 4]]
+
+
 def test_redaction_keeps_other_columns_and_text(spark):
     docs = fx.docs(spark)
     out = pii.redact(docs)
