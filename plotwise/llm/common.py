@@ -8,15 +8,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def placed(frame: DataFrame) -> DataFrame:
+    """The frame with its columns named by place (_0, _1, ...), so none of its names can clash with an operator's own."""
+    return frame.toDF(*[f"_{i}" for i in range(len(frame.columns))])
+
+
+def at(frame: DataFrame, name: str) -> Column:
+    """The column of ``placed(frame)`` that ``name`` stands for in ``frame``."""
+    return F.col(f"_{frame.columns.index(name)}")
+
+
+def named(rows: DataFrame, frame: DataFrame) -> DataFrame:
+    """The columns that ``placed(frame)`` has in ``rows``, under the frame's names again."""
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(frame.columns)])
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (as long) and the text (null becomes empty), so no other column can clash."""
-    return docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+    return placed(docs).select(
+        at(docs, id_col).cast("long").alias("doc_id"),
+        F.coalesce(at(docs, text_col).cast("string"), F.lit("")).alias("text"),
     )
 
 
@@ -36,13 +51,17 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             start = stop
 
 
-def reliable(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder, or one of our own where none is named."""
+def reliable(spark: SparkSession) -> str:
+    """Make checkpoint() usable and name its folder: the cluster's shared one, or in local mode, where none is named, one of our own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plotwise-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="plotwise-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
@@ -51,10 +70,14 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager)
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared checkpoint folder, read back; compressed, unlike a checkpoint."""
-    spark = frame.sparkSession
-    reliable(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+def write(frame: DataFrame) -> str:
+    """The folder of a new Parquet table of the frame, in the shared checkpoint folder; compressed, unlike a checkpoint."""
+    path = f"{reliable(frame.sparkSession)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a table that ``write`` made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

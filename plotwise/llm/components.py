@@ -35,24 +35,32 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_forest, "high long, low long")
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _with_least(rows: DataFrame, key: str, other: str, least: DataFrame, salts: int) -> DataFrame:
+    """Rows joined to their key's one row of ``least`` (key, m); the rows of a hub are dealt over ``salts`` keys."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "salt"])
+
+
+def components(edges: DataFrame, most_rounds: int = 100, salts: int = 16) -> DataFrame:
     """(node, component) for every node of the edges ``(a, b)``; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each edge batch first reduced to a
-    forest in its own task. Every round ends in a reliable checkpoint. Minima are aggregated map-side before
-    they are joined back, so a hub costs a join with one row on its own side. Self-loops, repeated and
-    reversed edges do no harm; without edges the result is empty.
+    forest in its own task. Every round ends in a reliable checkpoint. Minima are aggregated map-side, and
+    joined back over ``salts`` keys a node, so a hub's neighbours never meet in one task. Self-loops, repeated
+    and reversed edges do no harm; without edges the result is empty.
     """
     now = cut(_contract(edges.select(F.greatest("a", "b").cast("long").alias("high"), F.least("a", "b").cast("long").alias("low")).where("high <> low")))
     before = None
     for _ in range(most_rounds):
-        # Large star: each node hands its larger neighbours the smallest node it knows.
-        both = now.unionAll(now.select(F.col("low").alias("high"), F.col("high").alias("low"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).where("high <> low").distinct()
+        # Large star: each node hands its larger neighbours the smallest node it knows. An edge (high, low) is low's
+        # larger neighbour; the smallest that low knows is itself or the least low of its own edges as a high.
+        own = now.groupBy("high").agg(F.min("low").alias("m")).withColumnRenamed("high", "low")
+        heard = now.select("low").distinct().join(own, "low", "left").select("low", F.coalesce("m", "low").alias("m"))
+        large = _with_least(now, "low", "high", heard, salts).select("high", F.col("m").alias("low")).distinct()
         # Small star: each node hands its smaller neighbours, and itself, the smallest of them.
-        low = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(low, "high").where("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low")).unionAll(low.select("high", F.col("m").alias("low")))
+        least = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = _with_least(large, "high", "low", least, salts).select(F.explode(F.array(F.struct("high", F.col("m").alias("low")), F.struct(F.col("low").alias("high"), F.col("m").alias("low")))).alias("e")).select("e.*").where("high <> low")
         now = cut(_contract(small.distinct()))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if state == before:
@@ -61,4 +69,4 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tree = now.groupBy("high").agg(F.min("low").alias("low"))
-    return tree.select(F.col("high").alias("node"), F.col("low").alias("component")).unionAll(tree.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
+    return tree.select(F.explode(F.array(F.struct(F.col("high").alias("node"), F.col("low").alias("component")), F.struct(F.col("low").alias("node"), F.col("low").alias("component")))).alias("n")).select("n.*").distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from plotwise.llm.common import id_and_text, slices
 
 SPECIAL = "<|endoftext|>"
-_RUN = re.compile(r"\s ")
+_RUN = re.compile(r"\s |\s{1000}")
 
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
@@ -32,26 +32,34 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Words(dict):
-    """Word -> ids as bytes, filled on demand."""
+    """Word -> ids as bytes, filled on demand with words of up to 64 characters; ``held`` estimates its bytes."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = np.array(self.encode(" " + word), "<u4").tobytes()
+        ids = np.array(self.encode(" " + word), "<u4").tobytes()
+        if len(word) <= 64:
+            self[word] = ids
+            self.held += 200 + 2 * len(word) + len(ids)
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class WordEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, as tokenizers gives them, with a cache of words.
 
     The pre-tokenizer always parts between a character that isn't white space and a space, so such pieces are
-    encoded on their own and kept, up to ``most_words``. If the file's merges stand in the order of their ids, new
+    encoded on their own and kept, up to ``most_bytes`` in all. If the file's merges stand in the order of their ids, new
     pieces go through tiktoken over the same vocabulary, which is the same algorithm; else, and for texts with other
-    white space before a space or with the special token's string, tokenizers encodes.
+    white space before a space, with a thousand white characters in a row, or with the special token's string,
+    tokenizers encodes.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         import json
         import os
 
@@ -67,7 +75,7 @@ class WordEncoder:
             self.sentence_end[i] = piece[-1:] in {".", "!", "?", "Ċ"}  # Ċ stands for a line feed
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        self.words, self.most_words = _Words(self._ordinary(model) or self._slow), most_words
+        self.words, self.most_bytes = _Words(self._ordinary(model) or self._slow), most_bytes
 
     def _slow(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -85,7 +93,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if SPECIAL in text or _RUN.search(text):
             return np.array(self._slow(text), "<u4").tobytes()
-        if len(self.words) > self.most_words:
+        if self.words.held > self.most_bytes:
             self.words.clear()
         head, *words = text.split(" ")
         return np.array(self.words.encode(head), "<u4").tobytes() + b"".join(map(self.words.__getitem__, words))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwise.llm.common import cut, slices
+from plotwise.llm.common import at, cut, named, placed, slices
 
 # Characters that count as symbols, and the white space that parts words.
 SYMBOLS = "#*$%&|<>"
@@ -53,6 +53,10 @@ def counts(text: str) -> tuple[int, int, int, int, int, int, int, int]:
     )
 
 
+def _row_hash(text: Column, lang: Column, source: Column) -> Column:
+    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in (text, lang, source)])
+
+
 def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One narrow pass over the texts: the counts, the base rule and the transformed statistics.
 
@@ -67,24 +71,22 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 got = np.array([counts(t) for t in texts], np.int64).reshape(-1, 8)
                 yield pa.record_batch(
                     [pa.array(ids, pa.int64()), *(m.slice(done, len(ids)) for m in meta), *(pa.array(got[:, i]) for i in range(8))],
-                    names=["doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper"],
+                    names=["doc_id", "lang", "source", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper"],
                 )
                 done += len(ids)
 
-    rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
-        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"),
-    ).mapInArrow(run, "doc_id long, lang string, source string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long")
+    rows = placed(docs).select(
+        at(docs, id_col).cast("long").alias("doc_id"),
+        *[F.coalesce(at(docs, c).cast("string"), F.lit("")).alias(name) for c, name in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))],
+        _row_hash(at(docs, text_col), at(docs, lang_col), at(docs, source_col)).alias("row_hash"),
+    ).mapInArrow(run, "doc_id long, lang string, source string, row_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long")
     n = F.col("n_words")
 
     def rate(part: str, of: Column, weight: float, typical: float) -> Column:
         return F.log((F.col(part) + F.lit(weight * typical)) / (of + F.lit(weight)))
 
     return rows.select(
-        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((n < 50) | (100 * F.col("n_repeat_words") > 50 * n)).alias("base_failed"),
         F.log((F.col("word_chars") + 100.0) / (n + 20.0)).alias("f_word"),
         rate("n_symbols", n, 50.0, 0.02).alias("f_symbol"),
@@ -199,7 +201,7 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance and text_hash of every row.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance and row_hash of every row.
 
     The base rule rejects texts under 50 words or with over half their words in repeated 3-word windows; of the
     rest, ``outliers`` rejects those far from their language and source. ``distance`` is null for rows that it
@@ -213,12 +215,17 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     far = outliers(stats.where("not base_failed").select("row_id", "lang", "source", *FEATURES), **options)
     return stats.join(far, "row_id", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("distance").isNull()).alias("kept"), "distance", "text_hash",
+        (~F.col("base_failed") & F.col("distance").isNull()).alias("kept"), "distance", "row_hash",
     )
 
 
-def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects, by id and text hash: one anti-join against the rejected."""
-    bad = judge(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("bad_hash"))
-    return docs.join(bad, same, "left_anti")
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects: one anti-join against the rejected, by id and a hash of all that the verdict rests on.
+
+    Null, empty and very long texts, null ids, languages and sources are judged as ``judge`` says; repeated rows share
+    a verdict; an empty table gives an empty result; other columns stay as they are, whatever their names.
+    """
+    verdicts = judge(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col, **options)
+    bad = verdicts.where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("row_hash").alias("bad_hash")).distinct()
+    same = at(docs, id_col).cast("long").eqNullSafe(F.col("bad_id")) & (_row_hash(*(at(docs, c) for c in (text_col, lang_col, source_col))) == F.col("bad_hash"))
+    return named(placed(docs).join(bad, same, "left_anti"), docs)

@@ -1,17 +1,17 @@
-"""Repeated passages across documents, by prefix-free parsing: phrases, their dictionary order, the corpus order.
-
-A window is ``length`` bytes. Rolling-hash triggers (the smallest hash of a ``gram`` inside a window) part each text
-into phrases: maximal runs of windows with the same trigger. What a window's trigger is depends on its bytes alone,
-so equal windows anywhere have equal triggers. Phrases form a dictionary, kept sorted by trigger and phrase hash, in
-which every phrase knows the smallest document that holds it. Only phrases that share a trigger with a different
-phrase are opened, and their suffixes of window length are sorted likewise; every other phrase is settled whole.
+"""Repeated passages across documents: triggers of a rolling hash, prefix-free parsing, and the order of suffixes.
+
+A window is ``length`` bytes. Its trigger is the smallest rolling hash of a ``gram`` inside it, so equal windows have
+equal triggers wherever they stand; a text's maximal runs of windows with one trigger are its stretches. Triggers that
+one document alone has can't hold a repeat, and go no further. The other stretches, each once a part, meet by trigger
+as bytes. There a prefix-free parse of them all is made: suffix arrays of its dictionary and of its parse combine into
+the order of all their suffixes, in which equal windows stand together (``suffixes``). Hashes only bring strings
+together; bytes decide.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwise.llm.common import cut
+from plotwise.llm.common import at, cut, placed
+from plotwise.llm.suffixes import PrefixFreeParse
 
 U = np.uint64
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LAST = np.iinfo(np.int64).max
-#: The codes of a phrase: nothing repeats, all its windows repeat a smaller document's, or its windows decide.
-UNIQUE, REPEATED, OPEN = 0, 1, 2
+#: The codes of a trigger: one document alone has it; its phrases are compared; its windows are, one by one.
+UNIQUE, SHARED, CROWDED = 0, 1, 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ class Parser:
         return _mixed((sums[at + self.length] - sums[at]) * self.inverse[at])
 
     def phrases(self, sums: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(trigger, phrase hash, text number, first window, windows) of every phrase; bounds: the texts' ends, from 0."""
+        """(trigger, phrase hash, text number, first window, windows) of every stretch; bounds: the texts' ends, from 0."""
         length, gram, n = self.length, self.gram, len(sums) - 1
         if n < length:
             return tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int64))
@@ -125,266 +125,257 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate(([U(int.from_bytes(raw[:8], "little"))], unpack(raw[8:], U))), dtype=U)
 
 
+def pack_ids(ids: np.ndarray, unnamed: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids (0 for null) and which of them are null."""
+    return pack(ids), np.packbits(unnamed).tobytes() if unnamed.any() else b""
+
+
+def unpack_ids(ids: bytes, unnamed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(ids, np.int64), np.unpackbits(np.frombuffer(unnamed, np.uint8), count=n).astype(bool) if unnamed else np.zeros(n, bool)
+
+
+def ranked(ids: np.ndarray, unnamed: np.ndarray) -> np.ndarray:
+    """The place of each id among the distinct ones in order, nulls last."""
+    order = np.lexsort((ids, unnamed))
+    i, u = ids[order], unnamed[order]
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], (i[1:] != i[:-1]) | (u[1:] != u[:-1])))[: len(ids)])
+    return out
+
+
 class Part:
-    """The phrases of one part's documents, and its share of the dictionary: distinct phrases in sorted order."""
-
-    def __init__(self, ids: np.ndarray, raws: list[bytes], parser: Parser, chunk: int = 1 << 20):
-        self.parser, self.ids, self.raws, self.chunk = parser, ids, raws, chunk
-        self.pieces = list(self._chunks())
-        columns = [np.concatenate(c) for c in zip(*((t, p, ids[lo + d]) for lo, _, _, (t, p, d, _, _) in self._parsed()), strict=True)] if self.pieces else []
-        self.trigger, self.phrase, self.doc = columns or (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
-        order = np.lexsort((self.doc, self.phrase, self.trigger))
-        t, p, d = self.trigger[order], self.phrase[order], self.doc[order]
-        new = np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))[: len(t)]
-        self.entry = np.empty(len(t), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.entries = t[new], p[new], d[new]
-
-    def _chunks(self) -> Iterator[tuple[int, int]]:
+    """The documents of one part, in the order of their ids, and their stretches."""
+
+    def __init__(self, ids: list, raws: list[bytes], parser: Parser, chunk: int = 1 << 20):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raws[i]))
+        self.parser, self.chunk = parser, chunk
+        self.raws = [raws[i] for i in order]
+        self.unnamed = np.array([ids[i] is None for i in order], bool)
+        self.ids = np.array([ids[i] or 0 for i in order], np.int64)
+        self.doc = ranked(self.ids, self.unnamed)
+        columns = [np.concatenate(c) for c in zip(*self._stretches(), strict=True)] if self.raws else [np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int64)]
+        self.trigger, self.hash, self.text, self.place, self.size = columns
+        self.triggers, self.entry = np.unique(self.trigger, return_inverse=True)
+
+    def _stretches(self) -> Iterator[tuple[np.ndarray, ...]]:
         low, size = 0, 0
-        for i, raw in enumerate(self.raws):
-            if size and size + len(raw) > self.chunk:
-                yield low, i
+        for i, raw in enumerate([*self.raws, None]):
+            if raw is None or size and size + len(raw) > self.chunk:
+                lengths = [len(r) for r in self.raws[low:i]]
+                bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+                t, p, d, a, n = self.parser.phrases(self.parser.sums(np.frombuffer(b"".join(self.raws[low:i]), np.uint8)), bounds)
+                yield t, p, d + low, a - bounds[d], n
                 low, size = i, 0
-            size += len(raw)
-        if low < len(self.raws):
-            yield low, len(self.raws)
-
-    def _parsed(self) -> Iterator[tuple]:
-        """(first text, buffer's sums, bounds, phrases) chunk by chunk."""
-        for low, high in self.pieces:
-            raw = np.frombuffer(b"".join(self.raws[low:high]), np.uint8)
-            bounds = np.concatenate(([0], np.cumsum([len(r) for r in self.raws[low:high]])))
-            sums = self.parser.sums(raw)
-            yield low, sums, bounds, self.parser.phrases(sums, bounds)
-
-    def routes(self, buckets: int, crowd: int = 64) -> Iterator[tuple[int, bool, np.ndarray]]:
-        """(bucket, by phrase, places of the entries) of the dictionary entries, in a fixed order.
-
-        Entries go by trigger, so phrases that share one meet. A trigger with over ``crowd`` phrases in this
-        part is known to be shared; its entries go by phrase, so no bucket gets them all.
+            size += len(raw or b"")
+
+    def notes(self, buckets: int, crowd: int = 64) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """(bucket, triggers, flags, ids, nulls): each trigger with one of its documents; flag 1: others too, 2: over ``crowd`` different stretches."""
+        doc = self.doc[self.text]
+        first = np.full(len(self.triggers), len(self.raws), np.int64)
+        np.minimum.at(first, self.entry, self.text)
+        several = np.zeros(len(self.triggers), bool)
+        several[self.entry[doc != self.doc[first[self.entry]]]] = True
+        order = np.lexsort((self.hash, self.entry))
+        e, h = self.entry[order], self.hash[order]
+        kinds = np.bincount(e[np.concatenate(([True], (e[1:] != e[:-1]) | (h[1:] != h[:-1])))[: len(e)]], minlength=len(self.triggers))
+        flags = np.where(kinds > crowd, 2, several.astype(np.int64)).astype(np.uint8)
+        for b, held in self.routes(buckets):
+            yield b, pack_sorted(self.triggers[held]), flags[held].tobytes(), *pack_ids(self.ids[first[held]], self.unnamed[first[held]])
+
+    def routes(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places of its triggers) in a fixed order."""
+        yield from _dealt((_mixed(self.triggers) % U(buckets)).astype(np.int64), buckets)
+
+    def collate(self, replies: dict[int, bytes], buckets: int) -> None:
+        """Take the triggers' codes and list the strings to compare: ``strings``, and where each stands.
+
+        A shared trigger's stretch is a string, a crowded one's windows are each. Of equal strings one is listed, with
+        the first of its documents.
         """
-        t, p, _ = self.entries
-        starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))[: len(t)])
-        counts = np.diff(np.concatenate((starts, [len(t)])))
-        crowded = np.repeat(counts > crowd, counts)
-        for by_phrase, mask, key in ((False, ~crowded, t), (True, crowded, p)):
-            places = np.flatnonzero(mask)
-            bucket = (_mixed(key[places]) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    yield b, by_phrase, places[order[cuts[b] : cuts[b + 1]]]
-        self.crowded_starts = starts[counts > crowd]
-
-    def markers(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """One stand-in for each crowded trigger, for the bucket where the trigger's other phrases go."""
-        places = self.crowded_starts
-        bucket = (_mixed(self.entries[0][places]) % U(buckets)).astype(np.int64)
-        for b in np.unique(bucket).tolist():
-            yield b, places[bucket == b]
-
-    def codes(self, replies: dict[tuple[int, bool], bytes], buckets: int) -> np.ndarray:
-        """The code of each phrase occurrence."""
-        code = np.zeros(len(self.entries[0]), np.uint8)
-        for b, by_phrase, places in self.routes(buckets):
-            code[places] = np.frombuffer(replies[b, by_phrase], np.uint8)
-        own = code[self.entry]
-        own[self.doc > self.entries[2][self.entry]] = REPEATED
-        return own
-
-    def open_windows(self, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first text, text number, place, hash, document) of the windows of open phrases, chunk by chunk."""
-        done = 0
-        for low, sums, bounds, (t, _, d, a, size) in self._parsed():
-            mask = code[done : done + len(t)] == OPEN
-            done += len(t)
-            count = size[mask]
-            at = np.repeat(a[mask] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if mask.any() else np.zeros(0, np.int64)
-            text = np.repeat(d[mask], count)
-            yield low, text, at - bounds[text], self.parser.windows(sums, at), self.ids[low + text]
-
-    def distinct_windows(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct window hashes of the open phrases, each with its smallest document here."""
-        found = [(h, d) for _, _, _, h, d in self.open_windows(code)]
-        h, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
-        return h[new], d[new]
-
-    def marks(self, code: np.ndarray, hashes: np.ndarray, smallest: np.ndarray, repeated: np.ndarray) -> list[np.ndarray]:
-        """For each text, +1 where a removed window starts and -1 where it ends, as a difference array."""
-        steps = [np.zeros(len(r) + 1, np.int32) for r in self.raws]
-        done, length = 0, self.parser.length
-        for low, _, bounds, (t, _, d, a, size) in self._parsed():
-            mask = code[done : done + len(t)] == REPEATED
-            done += len(t)
-            for text, place, n in zip(d[mask].tolist(), (a[mask] - bounds[d[mask]]).tolist(), size[mask].tolist(), strict=True):
-                steps[low + text][place] += 1
-                steps[low + text][place + n - 1 + length] -= 1
-        for low, text, place, h, doc in self.open_windows(code):
-            at = np.searchsorted(hashes, h)
-            gone = (doc > smallest[at]) | repeated[at] if len(h) else np.zeros(0, bool)
-            for i, p in zip(text[gone].tolist(), place[gone].tolist(), strict=True):
-                steps[low + i][p] += 1
-                steps[low + i][p + length] -= 1
-        return steps
-
-
-def settle(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray, by_phrase: bool) -> np.ndarray:
-    """Codes of dictionary entries that met in one bucket; a phrase hash of zero is a stand-in for many others."""
+        code = np.zeros(len(self.triggers), np.uint8)
+        for b, held in self.routes(buckets):
+            code[held] = np.frombuffer(replies[b], np.uint8)
+        own, length = code[self.entry], self.parser.length
+        shared, crowded = np.flatnonzero(own == SHARED), np.flatnonzero(own == CROWDED)
+        count = self.size[crowded]
+        window = np.repeat(self.place[crowded] - np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count, count) + np.arange(count.sum())
+        self.at_text = np.concatenate((self.text[shared], np.repeat(self.text[crowded], count)))
+        self.at_place = np.concatenate((self.place[shared], window))
+        self.at_size = np.concatenate((self.size[shared], np.ones(len(window), np.int64)))
+        key = np.concatenate((self.trigger[shared], np.zeros(len(window), U)))
+        order = np.argsort(self.at_text, kind="stable")
+        self.at_text, self.at_place, self.at_size, key = (x[order] for x in (self.at_text, self.at_place, self.at_size, key))
+        numbers: dict[bytes, int] = {}
+        self.string = np.array([numbers.setdefault(self.raws[t][a : a + n + length - 1], len(numbers)) for t, a, n in zip(self.at_text.tolist(), self.at_place.tolist(), self.at_size.tolist(), strict=True)], np.int64)
+        self.strings = list(numbers)
+        first = np.unique(self.string, return_index=True)[1]
+        self.first = self.at_text[first]
+        key = key[first]
+        for i in np.flatnonzero(key == 0).tolist():  # a window by itself goes by its own hash
+            key[i] = zlib.crc32(self.strings[i]) + 1
+        self.key = _mixed(key + U(1))
+
+    def letters(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
+        """(bucket, keys, sizes, bytes, ids, nulls) of the listed strings."""
+        for b, held in self.sent(buckets):
+            strings = [self.strings[i] for i in held.tolist()]
+            yield b, (self.key[held] >> U(56)).astype(np.uint8).tobytes(), pack(np.array([len(x) for x in strings])), zlib.compress(b"".join(strings), 1), *pack_ids(self.ids[self.first[held]], self.unnamed[self.first[held]])
+
+    def sent(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        yield from _dealt((self.key % U(buckets)).astype(np.int64), buckets)
+
+    def gone(self, replies: dict[int, bytes], buckets: int) -> Iterator[np.ndarray]:
+        """For each document, which of its bytes go."""
+        length = self.parser.length
+        windows = np.array([len(s) - length + 1 for s in self.strings], np.int64)
+        begin = np.concatenate(([0], np.cumsum(windows)))
+        repeated = np.zeros(begin[-1], bool)
+        for b, held in self.sent(buckets):
+            total = windows[held]
+            places = np.repeat(begin[held] - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
+            repeated[places] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=len(places)).astype(bool)
+        later = self.doc[self.at_text] > self.doc[self.first[self.string]] if len(self.string) else np.zeros(0, bool)
+        string = np.repeat(np.arange(len(self.string)), self.at_size)
+        inner = np.arange(len(string)) - np.repeat(np.concatenate(([0], np.cumsum(self.at_size)[:-1])) if len(self.at_size) else self.at_size, self.at_size)
+        hit = later[string] | repeated[begin[self.string[string]] + inner]
+        text, place = self.at_text[string[hit]], (self.at_place[string] + inner)[hit]
+        base = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raws], dtype=np.int64)))
+        step = np.zeros(base[-1] + 1, np.int32)
+        np.add.at(step, base[text] + place, 1)
+        np.add.at(step, base[text] + place + length, -1)
+        covered = np.cumsum(step) > 0
+        for i, raw in enumerate(self.raws):
+            yield covered[base[i] : base[i] + len(raw)]
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b] : cuts[b + 1]]
+
+
+def settle(trigger: np.ndarray, flag: np.ndarray, ids: np.ndarray, unnamed: np.ndarray, most: int = 4096) -> np.ndarray:
+    """The code of each note of a trigger, from all notes of it: over ``most`` notes, or one that says so, make it crowded."""
     code = np.zeros(len(trigger), np.uint8)
-    if not len(trigger):
-        return code
-    order = np.lexsort((doc, phrase, trigger))
-    t, p, d = trigger[order], phrase[order], doc[order]
-    new_t = np.concatenate(([True], t[1:] != t[:-1]))
-    new_p = new_t | np.concatenate(([True], p[1:] != p[:-1]))
-    smallest = d[new_p][np.cumsum(new_p) - 1]
-    group, starts = np.cumsum(new_t) - 1, np.flatnonzero(new_t)
-    shared = (np.add.reduceat(new_p.astype(np.int64), starts) > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
-    code[order] = np.where(d > smallest, REPEATED, np.where(shared[group] | by_phrase, OPEN, UNIQUE))
+    if len(trigger):
+        _, entry = np.unique(trigger, return_inverse=True)
+        doc, n = ranked(ids, unnamed), entry.max() + 1
+        low, high, most_flag = np.full(n, len(doc)), np.full(n, -1), np.zeros(n, np.uint8)
+        np.minimum.at(low, entry, doc)
+        np.maximum.at(high, entry, doc)
+        np.maximum.at(most_flag, entry, flag)
+        crowded = (most_flag == 2) | (np.bincount(entry) > most)
+        code = np.where(crowded, CROWDED, np.where((most_flag > 0) | (low < high), SHARED, UNIQUE)).astype(np.uint8)[entry]
     return code
 
 
-_PHRASES = "bucket int, part long, by_phrase int, triggers binary, phrases binary, docs binary"
-_REPLY = "part long, bucket int, kind int, codes binary"
+def repeated_windows(strings: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
+    """For every window of every string, in order, whether a string of a smaller document holds the same bytes."""
+    string, _, number = PrefixFreeParse(strings).windows(length)
+    if not len(string):
+        return np.zeros(0, bool)
+    _, number = np.unique(number, return_inverse=True)
+    smallest = np.full(number.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, number, doc[string])
+    return doc[string] > smallest[number]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 20, splits: int = 4) -> DataFrame:
+_ROWS = "kind int, bucket int, part long, a binary, b binary, c binary, d binary, e binary"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+#: Kinds of rows: a part's texts, its notes of triggers, codes sent back, strings to compare, flags sent back.
+TEXTS, NOTES, CODES, STRINGS, FLAGS = range(5)
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 20, splits: int = 2, chunk: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every document.
 
-    Removes each byte that a ``length``-byte string covers which also starts in a document with a smaller id. Parts
-    are the scan's partitions, dealt out ``splits`` ways by id. First pass: every part sends its share of the
-    dictionary, packed, to buckets by trigger, and gets back a code for each phrase (checkpointed). Second pass:
-    the windows of open phrases go to buckets by their hash, each hash once a part, and come back with a flag.
-    Third pass: texts, codes and flags meet by part. A string that any number of documents share is one entry a part.
-    Hashes have 64 bits (triggers 40; equal triggers only bring phrases together).
+    Removes each byte that a ``length``-byte string covers which also starts in a document with a smaller id. Rows are
+    dealt to ``splits`` parts a shuffle partition by a hash of id and text, so a task that runs again has the same ones.
+    First each part, compressed, is checkpointed with its notes of triggers, which meet in buckets and come back as
+    codes. Then the parts send the strings of triggers that several documents share; their buckets compare windows, in
+    chunks of about ``chunk`` bytes, and send a bit for each. Last the parts cut their texts. A string that any number
+    of documents share is sent once a part; the windows of a trigger with very many strings go to buckets one by one.
 
     Null and empty texts have no bytes; rows with one id don't count as smaller than each other; null ids come
-    after all others; texts shorter than ``length`` stay whole; an empty table gives an empty result; other columns
-    are ignored. ``kept`` is the remaining bytes.
+    after all others; texts shorter than ``length`` stay whole; very long texts are parsed in one piece; repeated rows
+    come out each; an empty table gives an empty result; other columns are ignored. ``kept`` is the remaining bytes.
     """
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("raw"),
-    ).withColumn("part", F.spark_partition_id().cast("long") * splits + F.pmod(F.xxhash64("doc_id"), F.lit(splits)))
-
-    def part_of(ids: list, raws: list) -> Part:
-        order = sorted(range(len(ids)), key=lambda i: (_LAST if ids[i] is None else ids[i], raws[i]))
-        return Part(np.array([_LAST if ids[i] is None else ids[i] for i in order], np.int64), [raws[i] for i in order], Parser(length, gram))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for batch in batches:
-            for doc_id, raw, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held[part][0].append(doc_id)
-                held[part][1].append(raw)
-        for number in sorted(held):
-            part = part_of(*held.pop(number))
-            t, p, d = part.entries
-            out = [(b, number, int(s), pack_sorted(t[at]), p[at].tobytes(), pack(d[at])) for b, s, at in part.routes(buckets)]
-            out += [(b, number, -1, pack_sorted(t[at]), b"", pack(d[at])) for b, at in part.markers(buckets)]
-            if out:
-                yield _batch(out, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), _PHRASES)
-
-    def meet(table: pa.Table) -> pa.Table:
-        out = []
-        for wanted in (0, 1):
-            sent = [r for r in table.to_pylist() if r["by_phrase"] == wanted or (wanted == 0 and r["by_phrase"] == -1)]
-            if not sent:
-                continue
-            triggers = [unpack_sorted(r["triggers"]) for r in sent]
-            phrases = [np.frombuffer(r["phrases"], U) if r["phrases"] else np.zeros(len(t), U) for r, t in zip(sent, triggers, strict=True)]
-            code = settle(np.concatenate(triggers), np.concatenate(phrases), np.concatenate([unpack(r["docs"], np.int64) for r in sent]), bool(wanted))
-            ends = np.cumsum([len(t) for t in triggers])
-            out += [(r["part"], r["bucket"], wanted, code[e - len(t) : e].tobytes()) for r, t, e in zip(sent, triggers, ends, strict=True) if r["by_phrase"] >= 0]
-        return _table(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), _REPLY)
-
-    codes = cut(rows.select("doc_id", "raw", "part").mapInArrow(send, _PHRASES).groupBy("bucket").applyInArrow(meet, _REPLY))
-
-    def replies(table: pa.Table) -> tuple[dict, dict]:
-        code, flag = {}, {}
-        for r in table.to_pylist():
-            if r["kind"] == 2:
-                flag[r["bucket"]] = r["codes"]
-            else:
-                code[r["bucket"], bool(r["kind"])] = r["codes"]
-        return code, flag
-
-    def routed(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        bucket = (_mixed(hashes) % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                yield b, order[cuts[b] : cuts[b + 1]]
-
-    def open_up(texts: pa.Table, reply: pa.Table) -> pa.Table:
-        part = part_of(texts["doc_id"].to_pylist(), [zlib.decompress(r) for r in texts["raw"].to_pylist()])
-        hashes, smallest = part.distinct_windows(part.codes(replies(reply)[0], buckets))
-        number = texts["part"][0].as_py() if len(texts) else 0
-        out = [(b, number, hashes[at].tobytes(), pack(smallest[at])) for b, at in routed(hashes)]
-        return _table(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), "bucket int, part long, hashes binary, docs binary")
+    doc_id, raw = at(docs, id_col).cast("long"), F.coalesce(at(docs, text_col).cast("string"), F.lit("")).cast("binary")
+    rows = placed(docs).select(doc_id.alias("doc_id"), raw.alias("raw"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(buckets * splits)))
+
+    def part_of(row: dict) -> Part:
+        sizes = unpack(row["b"], np.int64)
+        ids, unnamed = unpack_ids(row["c"], row["d"], len(sizes))
+        whole, ends = zlib.decompress(row["a"]), np.cumsum(sizes).tolist()
+        return Part([None if u else i for i, u in zip(ids.tolist(), unnamed.tolist(), strict=True)], [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], Parser(length, gram))
+
+    def note(table: pa.Table) -> pa.Table:
+        number = table["part"][0].as_py()
+        part = Part(table["doc_id"].to_pylist(), table["raw"].to_pylist(), Parser(length, gram))
+        texts = (zlib.compress(b"".join(part.raws), 1), pack(np.array([len(r) for r in part.raws])), *pack_ids(part.ids, part.unnamed), b"")
+        return _table([(TEXTS, 0, number, *texts), *((NOTES, b, number, *sent, b"") for b, *sent in part.notes(buckets))])
+
+    def code(table: pa.Table) -> pa.Table:
+        sent = table.to_pylist()
+        triggers = [unpack_sorted(r["a"]) for r in sent]
+        ids, unnamed = zip(*(unpack_ids(r["c"], r["d"], len(t)) for r, t in zip(sent, triggers, strict=True)), strict=True)
+        codes = settle(np.concatenate(triggers), np.concatenate([np.frombuffer(r["b"], np.uint8) for r in sent]), np.concatenate(ids), np.concatenate(unnamed))
+        ends = np.cumsum([len(t) for t in triggers])
+        return _table([(CODES, r["bucket"], r["part"], codes[e - len(t) : e].tobytes(), b"", b"", b"", b"") for r, t, e in zip(sent, triggers, ends, strict=True)])
+
+    def collated(texts: pa.Table, replies: list[dict]) -> Part:
+        part = part_of(texts.to_pylist()[0])
+        part.collate({r["bucket"]: r["a"] for r in replies if r["kind"] == CODES}, buckets)
+        return part
+
+    def send(texts: pa.Table, reply: pa.Table) -> pa.Table:
+        part = collated(texts, reply.to_pylist())
+        return _table([(STRINGS, b, texts["part"][0].as_py(), *sent) for b, *sent in part.letters(buckets)])
 
     def compare(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
-        hashes = [np.frombuffer(r["hashes"], U) for r in sent]
-        every, doc = np.concatenate(hashes), np.concatenate([unpack(r["docs"], np.int64) for r in sent])
-        order = np.lexsort((doc, every))
-        h, d = every[order], doc[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        flags = np.zeros(len(h), bool)
-        flags[order] = d > d[new][np.cumsum(new) - 1]
-        ends = np.cumsum([len(x) for x in hashes])
-        return _table([(r["part"], r["bucket"], 2, np.packbits(flags[e - len(x) : e]).tobytes()) for r, x, e in zip(sent, hashes, ends, strict=True)], (pa.int64(), pa.int32(), pa.int32(), pa.binary()), _REPLY)
+        keys = [np.frombuffer(r["a"], np.uint8) for r in sent]
+        sizes = [unpack(r["b"], np.int64) for r in sent]
+        ids, unnamed = zip(*(unpack_ids(r["d"], r["e"], len(k)) for r, k in zip(sent, keys, strict=True)), strict=True)
+        doc, key, size = ranked(np.concatenate(ids), np.concatenate(unnamed)), np.concatenate(keys), np.concatenate(sizes)
+        whole = b"".join(zlib.decompress(r["c"]) for r in sent)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        count = size - length + 1
+        at_bit = np.concatenate(([0], np.cumsum(count)))
+        flags = np.zeros(at_bit[-1], bool)
+        chunks = min(256, -(-len(whole) // chunk))
+        for c in range(chunks):  # strings that share a trigger share a key, so they share a chunk
+            held = np.flatnonzero(key % chunks == c)
+            found = repeated_windows([whole[begin[i] : begin[i + 1]] for i in held.tolist()], doc[held], length)
+            flags[np.repeat(at_bit[held] - np.concatenate(([0], np.cumsum(count[held])[:-1])) if len(held) else held, count[held]) + np.arange(len(found))] = found
+        ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        return _table([(FLAGS, r["bucket"], r["part"], np.packbits(flags[at_bit[ends[i]] : at_bit[ends[i + 1]]]).tobytes(), b"", b"", b"", b"") for i, r in enumerate(sent)])
 
     def finish(texts: pa.Table, reply: pa.Table) -> pa.Table:
-        part = part_of(texts["doc_id"].to_pylist(), [zlib.decompress(r) for r in texts["raw"].to_pylist()])
-        code_reply, flag_reply = replies(reply)
-        code = part.codes(code_reply, buckets)
-        hashes, smallest = part.distinct_windows(code)
-        repeated = np.zeros(len(hashes), bool)
-        for b, at in routed(hashes):
-            repeated[at] = np.unpackbits(np.frombuffer(flag_reply[b], np.uint8), count=len(at)).astype(bool)
+        replies = reply.to_pylist()
+        part = collated(texts, replies)
         out = []
-        for doc_id, raw, step in zip(part.ids.tolist(), part.raws, part.marks(code, hashes, smallest, repeated), strict=True):
-            gone = np.cumsum(step[:-1]) > 0
+        for doc_id, unnamed, raw, gone in zip(part.ids.tolist(), part.unnamed.tolist(), part.raws, part.gone({r["bucket"]: r["a"] for r in replies if r["kind"] == FLAGS}, buckets), strict=True):
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (gone[0] if len(gone) else 0))
-            out.append((None if doc_id == _LAST else doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return _table(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), _RESULT)
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = pa.array([zlib.compress(r, 1) for r in batch.column(1).to_pylist()], pa.binary())
-            yield pa.record_batch([batch.column(0), raws, batch.column(2)], names=["doc_id", "raw", "part"])
-
-    # Texts cross the network once, compressed harder than a shuffle would; both later passes read that shuffle.
-    small = rows.select("doc_id", "raw", "part").mapInArrow(shrink, "doc_id long, raw binary, part long")
-    parts = small.repartition(buckets, "part").groupBy("part")
-    windows = parts.cogroup(codes.groupBy("part")).applyInArrow(open_up, "bucket int, part long, hashes binary, docs binary")
-    flags = windows.groupBy("bucket").applyInArrow(compare, _REPLY)
+            out.append((None if unnamed else doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+        return _table(out, _RESULT, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
+
+    # The parts cross the network as single rows from here on; both later passes read one shuffle of them.
+    noted = cut(rows.repartition(buckets, "part").groupBy("part").applyInArrow(note, _ROWS))
+    codes = cut(noted.where(F.col("kind") == NOTES).groupBy("bucket").applyInArrow(code, _ROWS))
+    parts = noted.where(F.col("kind") == TEXTS).repartition(buckets, "part").groupBy("part")
+    strings = parts.cogroup(codes.groupBy("part")).applyInArrow(send, _ROWS)
+    flags = strings.groupBy("bucket").applyInArrow(compare, _ROWS)
     return parts.cogroup(codes.unionAll(flags).groupBy("part")).applyInArrow(finish, _RESULT)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _columns(rows: list[tuple], kinds: tuple) -> list[pa.Array]:
-    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in kinds], kinds, strict=True)]
-
-
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(",")]
-
-
-def _batch(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
-    return pa.record_batch(_columns(rows, kinds), names=_names(schema))
-
-
-def _table(rows: list[tuple], kinds: tuple, schema: str) -> pa.Table:
-    return pa.table(_columns(rows, kinds), names=_names(schema))
+def _table(rows: list[tuple], schema: str = _ROWS, kinds: tuple = _KINDS) -> pa.Table:
+    names = [part.split()[0] for part in schema.split(",")]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[] for _ in kinds], kinds, strict=True)], names=names)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from plotwise.llm.common import cut, id_and_text, slices
+from plotwise.llm.common import at, cut, id_and_text, named, placed, slices
 from plotwise.llm.components import components
 
 
@@ -133,11 +133,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of near-duplicates: the least by id (nulls last), hash of the text, and place in the table.
 
     Rows are followed by their place, so null and repeated ids neither join groups nor lose them. ``docs`` must
-    read in the same order each time, as files do.
+    read in the same order each time, as files do. Null, empty and very long texts are treated as in
+    ``near_duplicates``; an empty table gives an empty result; other columns stay as they are, whatever their names.
     """
-    numbered = docs.withColumn("simhash_row", F.monotonically_increasing_id())
-    groups = near_duplicates(numbered, id_col="simhash_row", text_col=text_col, **options).select(F.col("doc_id").alias("simhash_row"), "component_id")
-    own = numbered.select("simhash_row", F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "simhash_row")
-    kept = own.join(groups, "simhash_row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.simhash_row")
-    return numbered.join(kept, "simhash_row", "left_semi").drop("simhash_row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = placed(docs).withColumn("row", F.monotonically_increasing_id())
+    text = at(docs, text_col).cast("string")
+    groups = near_duplicates(rows.select("row", text.alias("text")), id_col="row", text_col="text", **options).select(F.col("doc_id").alias("row"), "component_id")
+    own = rows.select("row", at(docs, id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "row")
+    kept = own.join(groups, "row").groupBy("component_id").agg(F.min(rank).alias("rank")).select("rank.row")
+    return named(rows.join(kept, "row", "left_semi"), docs)

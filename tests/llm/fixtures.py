@@ -5,6 +5,9 @@ import re
 
 from pyspark.sql import types as T
 
+#: More names that operators use, or could.
+CLASHING = ("row", "simhash_row", "bad_id", "bad_hash", "row_hash", "head_id", "head", "pii_text", "pii_note", "mix_note", "mix_n", "mix_source", "node", "group", "component", "_0", "_1", "with.dot")
+
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -18,6 +21,7 @@ SCHEMA = T.StructType(
         T.StructField("key", T.StringType()),
         T.StructField("fp", T.DoubleType()),
         T.StructField("raw", T.StringType()),
+        *(T.StructField(name, T.StringType()) for name in CLASHING),
     ]
 )
 
@@ -37,7 +41,7 @@ def texts():
 
 
 def rows():
-    out = [(i * 3 % 101, t, ["en", "de", None][i % 3], ["src0", "src1", None, "src0"][i % 4], None if t is None else len(t), i, "s", "k", float("nan"), "r") for i, t in enumerate(texts())]
+    out = [(i * 3 % 101, t, ["en", "de", None][i % 3], ["src0", "src1", None, "src0"][i % 4], None if t is None else len(t), i, "s", "k", float("nan"), "r", *("c" for _ in CLASHING)) for i, t in enumerate(texts())]
     out.append(out[7])  # a repeated row
     return out
 

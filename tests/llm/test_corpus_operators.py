@@ -11,6 +11,7 @@ import xxhash
 
 from plotwise.llm import embeddings, mixing, quality, repeats, simhash, similar
 from plotwise.llm.components import components
+from plotwise.llm.suffixes import PrefixFreeParse
 from tests.llm import fixtures as fx
 
 
@@ -113,7 +114,7 @@ def test_stage_joins_near_copies_by_similarity(spark, sf):
     edges = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
     assert 20 < len(edges)
     want = set(smallest(list(range(len(texts))), grouped(len(texts), edges)))
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
     got = [r["doc_id"] for r in cp.near_duplicates(spark, frame, sf).collect()]
     assert sorted(got) == sorted(want)
 
@@ -273,15 +274,39 @@ def test_repeats_with_crowded_triggers(spark):
         assert got == plain_repeats(rows)
 
 
-def test_repeat_codes_are_exact_under_crowding():
+def test_triggers_of_one_document_alone_go_no_further():
     rng = np.random.default_rng(0)
-    t, p = rng.integers(0, 4, 500).astype(np.uint64), rng.integers(1, 40, 500).astype(np.uint64)
-    d = rng.integers(0, 30, 500)
-    code = repeats.settle(t, p, d, False)
-    for i in range(500):
-        own = d[(t == t[i]) & (p == p[i])].min()
-        shared = len(set(p[t == t[i]])) > 1 and len(set(d[t == t[i]])) > 1
-        assert code[i] == (repeats.REPEATED if d[i] > own else repeats.OPEN if shared else repeats.UNIQUE)
+    t, d, flag = rng.integers(0, 60, 100).astype(np.uint64), rng.integers(0, 5, 100), rng.integers(0, 30, 100).astype(np.uint8) == 1
+    code = repeats.settle(t, flag.astype(np.uint8), d, np.zeros(100, bool))
+    for i in range(100):
+        mine = t == t[i]
+        assert code[i] == (repeats.SHARED if flag[mine].any() or len(set(d[mine])) > 1 else repeats.UNIQUE)
+    assert set(repeats.settle(np.ones(5, np.uint64), np.zeros(5, np.uint8), np.arange(5), np.zeros(5, bool), most=4)) == {repeats.CROWDED}
+
+
+def test_prefix_free_parsing_orders_all_suffixes():
+    rng = random.Random(1)
+    for trial in range(60):
+        alphabet = b"ab\x00\xff" if trial % 2 else b"abcdef"
+        base = bytes(rng.choices(alphabet, k=200))
+        strings = [base[(a := rng.randint(0, 150)) : a + rng.randint(0, 120)] + bytes(rng.choices(alphabet, k=rng.randint(0, 9))) for _ in range(rng.randint(0, 12))]
+        p = PrefixFreeParse(strings, modulus=rng.choice([2, 5, 24]))
+        places = np.concatenate([np.zeros(0, np.int64), *(s + np.arange(n) for s, n in zip(p.starts.tolist(), p.lengths.tolist(), strict=True))]).astype(np.int64)
+        suffixes = [p.symbols[i:].tolist() for i in (p.order(places).tolist() if len(places) else [])]
+        assert suffixes == sorted(suffixes)
+        for length in (8, 11, 50):
+            string, inner, number = p.windows(length)
+            seen = {}
+            for s, i, c in zip(string.tolist(), inner.tolist(), number.tolist(), strict=True):
+                assert seen.setdefault(strings[s][i : i + length], c) == c
+            assert len(set(seen.values())) == len(seen) and len(string) == sum(max(0, len(x) - length + 1) for x in strings)
+
+
+def test_repeats_across_null_largest_and_repeated_ids(spark):
+    a, b = ("".join(random.Random(k).choices("abcdefgh", k=200)) for k in (1, 2))
+    rows = [(None, a), (2**63 - 1, a), (-(2**63), b), (3, b + a), (3, a), (None, b), (4, None)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 200, 200), (2**63 - 1, 200, 200), (-(2**63), 200, 0), (3, 400, 200), (3, 200, 0), (None, 200, 200), (4, 0, 0)])
 
 
 def test_packed_integers_round_trip():
@@ -360,3 +385,24 @@ def test_registered_queries(spark, sf):
     names = set(entry.queries())
     assert {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)} | {"pipeline"}
     assert set(entry.oracle_sql()) <= names
+
+
+def test_near_copies_in_blocks_lose_no_link(spark):
+    texts = near_copies()
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    want = sorted(set(smallest(list(range(len(texts))), grouped(len(texts), edges))))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    assert sorted(r["doc_id"] for r in similar.keep_one(frame, most=2).collect()) == want
+
+
+def test_filters_keep_every_column_and_clean_rows(spark):
+    """Stages that pass columns on: names of their own, dots, null and repeated ids with other texts."""
+    docs = fx.docs(spark)
+    sound = " ".join(f"word{i} stands" for i in range(60))
+    rows = [(None, sound, "en"), (None, sound + " more", "de"), (7, sound, "en"), (7, sound + " other", None)]
+    for frame in (docs, spark.createDataFrame([(*r, *("c",) * len(fx.CLASHING)) for r in rows], ["doc_id", "text", "lang", *fx.CLASHING]).withColumnRenamed("node", "source")):
+        for run in (quality.keep_good, similar.keep_one, simhash.keep_one, mixing.remix):
+            out = run(frame)
+            assert out.columns == frame.columns
+            for r in out.collect():
+                assert all(r[c] == "c" for c in fx.CLASHING if c in frame.columns)

@@ -131,7 +131,7 @@ def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    encoder = packing.WordEncoder(tokenizer("byte_bpe_50k.json"), most_words=50)
+    encoder = packing.WordEncoder(tokenizer("byte_bpe_50k.json"), most_bytes=10_000)
     rng = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "foo", ".", "'s", "\xa0", "　", "\x1c", "é", "日本", "😀", "<|endoftext|>", "1", "!?", "\x85"]
     for _ in range(3000):
