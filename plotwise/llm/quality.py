@@ -124,38 +124,47 @@ def _distance(names: list[str]) -> Column:
 
 
 def _estimate(moments: DataFrame, floors: list[float]) -> DataFrame:
-    """Mean and inverse Cholesky factor from each key's summed moments: one row of a few dozen numbers a key."""
+    """(key, start, mean, factor, logdet) from each key's and start's summed moments: one row of a few dozen numbers each.
+
+    factor: the inverse Cholesky factor of the covariance (row-major, lower). logdet: the log of its determinant.
+    """
     p = len(floors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, means, factors = batch.column(0), [], []
-            for sums in batch.column(1).to_pylist():
+            means, factors, logs = [], [], []
+            for sums in batch.column(2).to_pylist():
                 n, first, second = sums[0], np.array(sums[1 : p + 1]), sums[p + 1 :]
                 mean, cov = first / n, np.zeros((p, p))
                 cov[np.tril_indices(p)] = second
                 cov = (cov + np.tril(cov, -1).T) / n - np.outer(mean, mean)
                 cov[np.diag_indices(p)] = np.maximum(cov[np.diag_indices(p)], 0) + np.array(floors) ** 2
-                factor = np.linalg.inv(np.linalg.cholesky((cov + cov.T) / 2))
+                lower = np.linalg.cholesky((cov + cov.T) / 2)
                 means.append(mean.tolist())
-                factors.append(factor[np.tril_indices(p)].tolist())
-            yield pa.record_batch([keys, pa.array(means, pa.list_(pa.float64())), pa.array(factors, pa.list_(pa.float64()))], names=["key", "mean", "factor"])
+                factors.append(np.linalg.inv(lower)[np.tril_indices(p)].tolist())
+                logs.append(float(2 * np.log(np.diag(lower)).sum()))
+            kind = pa.list_(pa.float64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(means, kind), pa.array(factors, kind), pa.array(logs, pa.float64())], names=["key", "start", "mean", "factor", "logdet"])
+
+    return moments.mapInArrow(run, "key string, start int, mean array<double>, factor array<double>, logdet double")
 
-    return moments.mapInArrow(run, "key string, mean array<double>, factor array<double>")
+
+def _moments(names: list[str]) -> list[Column]:
+    return [F.lit(1.0), *map(F.col, names), *(F.col(names[i]) * F.col(names[j]) for i in range(len(names)) for j in range(i + 1))]
 
 
 def _step(rows: DataFrame, distance: Column, share: float, names: list[str], floors: list[float]) -> DataFrame:
-    """A concentration step: the estimate of each key from its ``share`` of rows with the smallest distances.
+    """A concentration step: the estimate of each key and start from its ``share`` of rows with the smallest distances.
 
-    Distances fall into bins of 1/64 in log; moments are summed by key and bin map-side, and whole bins are
+    Distances fall into bins of 1/64 in log; moments are summed by key, start and bin map-side, and whole bins are
     taken until they hold the share, so no key's rows meet in one task.
     """
-    moments = [F.lit(1.0), *map(F.col, names), *(F.col(names[i]) * F.col(names[j]) for i in range(len(names)) for j in range(i + 1))]
+    moments = _moments(names)
     binned = rows.withColumn("bin", F.floor(64 * F.log(distance + 1e-9)))
-    sums = binned.groupBy("key", "bin").agg(F.count("*").alias("n"), *[F.sum(m).alias(f"m{i}") for i, m in enumerate(moments)])
-    by = Window.partitionBy("key")
+    sums = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(m).alias(f"m{i}") for i, m in enumerate(moments)])
+    by = Window.partitionBy("key", "start")
     sums = sums.withColumn("before", F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(by))
-    inner = sums.where(F.col("before") < F.ceil(F.col("all") * share)).groupBy("key").agg(F.array(*[F.sum(f"m{i}") for i in range(len(moments))]).alias("sums"))
+    inner = sums.where(F.col("before") < F.ceil(F.col("all") * share)).groupBy("key", "start").agg(F.array(*[F.sum(f"m{i}") for i in range(len(moments))]).alias("sums"))
     return _estimate(inner, floors)
 
 
@@ -164,14 +173,35 @@ def _quantile(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
 
 
-def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: float = 0.75, steps: int = 3, z: float = 10.0, least: int = 100) -> DataFrame:
+def _starts(keyed: DataFrame, names: list[str], floors: list[float], starts: int) -> DataFrame:
+    """First estimates (key, start, mean, factor): start 0 from medians and quartile ranges, the others from a row of
+    a hash order each, with the same spreads: the row of a key that comes first under the start's seed."""
+    long = keyed.select("key", F.posexplode(F.array(*[F.floor(F.col(n) * 1000) for n in names])).alias("dim", "bin"))
+    edges = _bin_edges(long, ["key", "dim"], "bin", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    listed = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("dim", v.alias("v")))), lambda s: s.v)
+    centre = edges.groupBy("key").agg(
+        listed(F.col("q2") / 1000.0).alias("mean"),
+        listed(F.sqrt(F.pow((F.col("q3") - F.col("q1")) / 1349.0, F.lit(2)) + F.pow(F.element_at(F.array(*map(F.lit, floors)), F.col("dim") + 1), F.lit(2)))).alias("spread"),
+    )
+    point = F.array(*map(F.col, names))
+    picked = keyed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(s), "row_id").alias("h"), point.alias("v")))["v"].alias(f"p{s}") for s in range(1, starts)])
+    both = centre.join(picked, "key").select("key", "spread", F.posexplode(F.array("mean", *[f"p{s}" for s in range(1, starts)])).alias("start", "mean"))
+    p = len(names)
+    factor = F.array(*[1 / F.col("spread")[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)])
+    return both.select("key", F.col("start").cast("int").alias("start"), "mean", factor.alias("factor"))
+
+
+def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: float = 0.75, starts: int = 4, short: int = 2, most_steps: int = 20, z: float = 10.0, least: int = 100) -> DataFrame:
     """(row_id, distance) of the outlying rows of ``(row_id, lang, source, features...)``.
 
-    Minimum covariance determinant per language and source: from medians and quartile ranges, ``steps``
-    concentration steps over the ``share`` of rows nearest to the last estimate, then scaled so that the
-    median squared distance is that of chi-squared. A row is outlying if its squared distance exceeds the
-    chi-squared quantile at ``z`` deviates. Groups under ``least`` rows use their language's rows, and
-    languages under ``least`` all rows. ``features`` gives each statistic's least standard deviation.
+    Minimum covariance determinant per language and source: ``starts`` first estimates (medians and quartile ranges;
+    rows picked by a hash) each get ``short`` concentration steps over the ``share`` of rows nearest to the last one;
+    the one of the least determinant goes on until no key's determinant falls by more than 1e-6 in log (at most
+    ``most_steps``). Its distances are scaled so that the median is that of chi-squared, the rows within the 97.5 %
+    quantile give the reweighted mean and covariance, and distances from that are scaled likewise. A row is outlying
+    if its squared distance exceeds the chi-squared quantile at ``z`` deviates. Groups under ``least`` rows, too few to
+    estimate from, use their language's rows, and languages under ``least`` all rows. ``features`` gives each
+    statistic's least standard deviation. Distances are told apart to 1/64 in log where rows are ranked by them.
     """
     names, floors = list(features), list(features.values())
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -184,20 +214,28 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     keyed = cut(rows.withColumn("salt", salt).join(copies, ["lang", "source", "salt"]).select("key", "salt", "row_id", *names))
 
-    long = keyed.select("key", F.posexplode(F.array(*[F.floor(F.col(n) * 1000) for n in names])).alias("dim", "bin"))
-    edges = _bin_edges(long, ["key", "dim"], "bin", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    starts = edges.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", F.col("q2").alias("v")))), lambda s: s.v / 1000.0).alias("mean"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("q3") - F.col("q1")).alias("v")))), lambda s: s.v / 1349.0).alias("spread"),
-    )
-    first = sum((((F.col(n) - F.col("mean")[i]) / F.sqrt(F.col("spread")[i] * F.col("spread")[i] + f * f)) ** 2 for i, (n, f) in enumerate(features.items())), F.lit(0.0))
-    estimate = cut(_step(_with(keyed, starts), first, share, names, floors))
-    for _ in range(steps - 1):
+    estimate = cut(_starts(keyed, names, floors, starts))
+    for _ in range(short):
         estimate = cut(_step(_with(keyed, estimate), _distance(names), share, names, floors))
-    measured = _with(keyed, estimate).select("key", "salt", "row_id", _distance(names).alias("distance"))
+    chosen = estimate.groupBy("key").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("e")).select("key", "e.start", "e.mean", "e.factor", "e.logdet")
+    estimate = cut(chosen)
+    for _ in range(most_steps):
+        nearer = cut(_step(_with(keyed, estimate), _distance(names), share, names, floors))
+        fell = nearer.alias("new").join(estimate.alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
+        estimate = nearer
+        if fell is None or fell <= 1e-6:
+            break
+    within = _scaled(keyed, estimate, names, keep=names).where(F.col("distance") <= _quantile(len(names), 1.96))
+    reweighted = within.withColumn("start", F.lit(0)).groupBy("key", "start").agg(F.array(*[F.sum(m) for m in _moments(names)]).alias("sums"))
+    return _scaled(keyed, cut(_estimate(reweighted, floors)), names).select("row_id", "distance").where(F.col("distance") > _quantile(len(names), z))
+
+
+def _scaled(keyed: DataFrame, estimate: DataFrame, names: list[str], keep: list[str] = ()) -> DataFrame:
+    """key, row_id, distance and ``keep`` of every row, each key's squared distances divided so that their median is that of chi-squared, if it is above."""
+    measured = _with(keyed, estimate).select("key", "salt", "row_id", *keep, _distance(names).alias("distance"))
     middle = _bin_edges(measured.withColumn("bin", F.floor(64 * F.log(F.col("distance") + 1e-9))), ["key"], "bin", {"half": 0.5})
     middle = middle.select("key", F.greatest(F.lit(1.0), F.exp((F.col("half") + 1) / 64.0) / _quantile(len(names), 0.0)).alias("scale"))
-    return _with(measured, middle).select("row_id", (F.col("distance") / F.col("scale")).alias("distance")).where(F.col("distance") > _quantile(len(names), z))
+    return _with(measured, middle).select("key", "row_id", *keep, (F.col("distance") / F.col("scale")).alias("distance"))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -190,6 +190,43 @@ def test_mcd_agrees_with_numpy(spark):
     assert set(range(60)) <= bad and len(bad) <= 60 + (d > 18).sum() + 3
 
 
+def plain_mcd(x, share=0.75, z=10.0, floors=None, tries=40):
+    """A plain estimate of one group: many random starts over exact order statistics, the least determinant, reweighted."""
+    n, p = x.shape
+    floors = np.diag(np.square(floors))
+    h, rng, best = math.ceil(n * share), np.random.default_rng(0), None
+    for _ in range(tries):
+        pick = rng.choice(n, p + 1, replace=False)
+        mean, cov = x[pick].mean(0), np.cov(x[pick].T, bias=True) + floors
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(d)[:h]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) + floors
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], mean, cov
+    for level in (1.96, z):
+        d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+        d /= max(1.0, np.median(d) / quality._quantile(p, 0.0))
+        inside = d <= quality._quantile(p, level)
+        best = None, x[inside].mean(0), np.cov(x[inside].T, bias=True) + floors
+    return d
+
+
+def test_quality_verdicts_agree_with_an_independent_estimate_on_documents(spark, sf):
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    stats = quality.statistics(docs).where("not base_failed").toPandas()
+    far = {r["doc_id"]: r["distance"] for r in quality.judge(docs).where("distance is not null").collect()}
+    names, floors = list(quality.FEATURES), list(quality.FEATURES.values())
+    big = stats.groupby(["lang", "source"]).doc_id.transform("size") >= 100
+    wide = stats.groupby("lang").doc_id.transform("size") >= 100
+    key = np.where(big, stats.lang + "/" + stats.source, np.where(wide, stats.lang, ""))
+    limit = quality._quantile(len(names), 10.0)
+    for _, rows in stats.groupby(key):
+        d = plain_mcd(rows[names].to_numpy(), floors=floors)
+        for doc_id, own in zip(rows.doc_id, d, strict=True):  # bins of 1/64 may move the estimate a little
+            assert (doc_id in far) == (own > limit) or 0.75 * limit < own < 1.35 * limit
+
+
 def test_keep_good_keeps_columns(spark):
     docs = fx.docs(spark)
     out = quality.keep_good(docs)
