@@ -134,6 +134,14 @@ def unpack_ids(ids: bytes, unnamed: bytes, n: int) -> tuple[np.ndarray, np.ndarr
     return unpack(ids, np.int64), np.unpackbits(np.frombuffer(unnamed, np.uint8), count=n).astype(bool) if unnamed else np.zeros(n, bool)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def ranked(ids: np.ndarray, unnamed: np.ndarray) -> np.ndarray:
     """The place of each id among the distinct ones in order, nulls last."""
     order = np.lexsort((ids, unnamed))
@@ -219,7 +227,7 @@ class Part:
         """(bucket, keys, sizes, bytes, ids, nulls) of the listed strings."""
         for b, held in self.sent(buckets):
             strings = [self.strings[i] for i in held.tolist()]
-            yield b, (self.key[held] >> U(56)).astype(np.uint8).tobytes(), pack(np.array([len(x) for x in strings])), zlib.compress(b"".join(strings), 1), *pack_ids(self.ids[self.first[held]], self.unnamed[self.first[held]])
+            yield b, (self.key[held] >> U(56)).astype(np.uint8).tobytes(), pack(np.array([len(x) for x in strings])), squeeze(b"".join(strings)), *pack_ids(self.ids[self.first[held]], self.unnamed[self.first[held]])
 
     def sent(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from _dealt((self.key % U(buckets)).astype(np.int64), buckets)
@@ -272,7 +280,7 @@ def settle(trigger: np.ndarray, flag: np.ndarray, ids: np.ndarray, unnamed: np.n
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
     """For every window of every string, in order, whether a string of a smaller document holds the same bytes."""
-    string, _, number = PrefixFreeParse(strings).windows(length)
+    string, _, number = PrefixFreeParse(strings, depth=length).windows(length)
     if not len(string):
         return np.zeros(0, bool)
     _, number = np.unique(number, return_inverse=True)
@@ -309,13 +317,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def part_of(row: dict) -> Part:
         sizes = unpack(row["b"], np.int64)
         ids, unnamed = unpack_ids(row["c"], row["d"], len(sizes))
-        whole, ends = zlib.decompress(row["a"]), np.cumsum(sizes).tolist()
+        whole, ends = unsqueeze(row["a"], int(sizes.sum())), np.cumsum(sizes).tolist()
         return Part([None if u else i for i, u in zip(ids.tolist(), unnamed.tolist(), strict=True)], [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], Parser(length, gram))
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(1).to_pylist()
+            yield pa.record_batch([batch.column(0), pa.array([squeeze(r) for r in raws], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), batch.column(2)], names=["doc_id", "raw", "size", "part"])
+
     def note(table: pa.Table) -> pa.Table:
         number = table["part"][0].as_py()
-        part = Part(table["doc_id"].to_pylist(), table["raw"].to_pylist(), Parser(length, gram))
-        texts = (zlib.compress(b"".join(part.raws), 1), pack(np.array([len(r) for r in part.raws])), *pack_ids(part.ids, part.unnamed), b"")
+        raws = [unsqueeze(r, n) for r, n in zip(table["raw"].to_pylist(), table["size"].to_pylist(), strict=True)]
+        part = Part(table["doc_id"].to_pylist(), raws, Parser(length, gram))
+        texts = (squeeze(b"".join(part.raws)), pack(np.array([len(r) for r in part.raws])), *pack_ids(part.ids, part.unnamed), b"")
         return _table([(TEXTS, 0, number, *texts), *((NOTES, b, number, *sent, b"") for b, *sent in part.notes(buckets))])
 
     def code(table: pa.Table) -> pa.Table:
@@ -341,7 +355,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         sizes = [unpack(r["b"], np.int64) for r in sent]
         ids, unnamed = zip(*(unpack_ids(r["d"], r["e"], len(k)) for r, k in zip(sent, keys, strict=True)), strict=True)
         doc, key, size = ranked(np.concatenate(ids), np.concatenate(unnamed)), np.concatenate(keys), np.concatenate(sizes)
-        whole = b"".join(zlib.decompress(r["c"]) for r in sent)
+        whole = b"".join(unsqueeze(r["c"], int(n.sum())) for r, n in zip(sent, sizes, strict=True))
         begin = np.concatenate(([0], np.cumsum(size)))
         count = size - length + 1
         at_bit = np.concatenate(([0], np.cumsum(count)))
@@ -364,8 +378,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append((None if unnamed else doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return _table(out, _RESULT, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
 
-    # The parts cross the network as single rows from here on; both later passes read one shuffle of them.
-    noted = cut(rows.repartition(buckets, "part").groupBy("part").applyInArrow(note, _ROWS))
+    # Texts cross the network compressed, once by row, then as parts of one row; both later passes read one shuffle of them.
+    small = rows.mapInArrow(shrink, "doc_id long, raw binary, size long, part long")
+    noted = cut(small.repartition(buckets, "part").groupBy("part").applyInArrow(note, _ROWS))
     codes = cut(noted.where(F.col("kind") == NOTES).groupBy("bucket").applyInArrow(code, _ROWS))
     parts = noted.where(F.col("kind") == TEXTS).repartition(buckets, "part").groupBy("part")
     strings = parts.cogroup(codes.groupBy("part")).applyInArrow(send, _ROWS)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_ranks(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+def suffix_ranks(symbols: np.ndarray, last: np.ndarray, depth: int | None = None) -> np.ndarray:
     """The rank of the string that runs from each place to its ``last`` place, both included; equal strings share one.
 
     Prefix doubling over symbols from 1 up; a string that ends earlier comes first. A rank is the number of strings
-    that come before. Each round sorts only strings that share a rank and go on; it ends when none is told apart.
+    that come before. Each round sorts only strings that share a rank and go on; it ends when none is left, or when
+    ``depth`` symbols have been compared, so strings that share those may share a rank.
     """
     n = len(symbols)
     if not n:
@@ -33,6 +34,8 @@ def suffix_ranks(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
         old = rank[held]
         old_begin = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), np.arange(len(held)), 0))
         rank[held] = old + np.repeat(begin, size) - old_begin
+        if depth is not None and span >= depth:
+            break
         work = held[np.repeat(size > 1, size)]
         work = work[work + span <= last[work]]
         key = rank[work] * (n + 1) + rank[work + span] + 1
@@ -48,11 +51,12 @@ class PrefixFreeParse:
     end of the next, so no suffix of a phrase that is longer than ``width`` is the beginning of another one's. The
     dictionary is the distinct phrases, told apart by their symbols and sorted; the parse is their numbers in the order
     of the text. The order of a suffix of the text is that of its phrase's suffix in the dictionary, and among equal
-    ones that of the parse from the next phrase on.
+    ones that of the parse from the next phrase on. With ``depth``, the order is that of the first ``depth`` bytes at
+    least, which spares long runs; else it is whole.
     """
 
-    def __init__(self, strings: list[bytes], width: int = 4, modulus: int = 24):
-        self.width = width
+    def __init__(self, strings: list[bytes], width: int = 4, modulus: int = 24, depth: int | None = None):
+        self.width, self.depth = width, depth
         lengths = np.array([len(s) for s in strings], np.int64)
         self.starts = width + np.concatenate(([0], np.cumsum(lengths + width)[:-1])) if len(strings) else np.zeros(0, np.int64)
         self.lengths = lengths
@@ -91,8 +95,8 @@ class PrefixFreeParse:
         sizes = np.array([len(p) // 2 for p in phrases], np.int64)
         self.phrase_starts = np.concatenate(([0], np.cumsum(sizes)))
         self.dictionary = np.frombuffer(b"".join(phrases), ">u2").astype(np.int64)
-        self.dictionary_ranks = suffix_ranks(self.dictionary, np.repeat(self.phrase_starts[1:] - 1, sizes))
-        self.parse_ranks = np.append(suffix_ranks(self.parse, np.full(len(self.parse), len(self.parse) - 1)) + 1, 0)
+        self.dictionary_ranks = suffix_ranks(self.dictionary, np.repeat(self.phrase_starts[1:] - 1, sizes), self.depth)
+        self.parse_ranks = np.append(suffix_ranks(self.parse, np.full(len(self.parse), len(self.parse) - 1), self.depth) + 1, 0)
 
     def order(self, places: np.ndarray) -> np.ndarray:
         """The given places of the buffer in the lexicographic order of the suffixes that start there."""
@@ -105,6 +109,8 @@ class PrefixFreeParse:
 
         Equal windows stand together in the order of the suffixes; neighbours are compared byte by byte.
         """
+        if self.depth is not None and length > self.depth:
+            raise ValueError("the order does not reach the length of the windows")
         count = np.maximum(self.lengths - length + 1, 0)
         string = np.repeat(np.arange(len(count)), count)
         inner = np.arange(len(string)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count, count)
