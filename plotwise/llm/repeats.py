@@ -176,8 +176,8 @@ class Part:
                 low, size = i, 0
             size += len(raw or b"")
 
-    def notes(self, buckets: int, crowd: int = 64) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """(bucket, triggers, flags, ids, nulls): each trigger with one of its documents; flag 1: others too, 2: over ``crowd`` different stretches."""
+    def notes(self, buckets: int, crowd: int = 64) -> Iterator[tuple[int, bytes, int, bytes]]:
+        """(bucket, triggers, their packed size, flags): flag 0 if one document here has the trigger, 1 if more have, 2 if over ``crowd`` different stretches have."""
         doc = self.doc[self.text]
         first = np.full(len(self.triggers), len(self.raws), np.int64)
         np.minimum.at(first, self.entry, self.text)
@@ -188,7 +188,8 @@ class Part:
         kinds = np.bincount(e[np.concatenate(([True], (e[1:] != e[:-1]) | (h[1:] != h[:-1])))[: len(e)]], minlength=len(self.triggers))
         flags = np.where(kinds > crowd, 2, several.astype(np.int64)).astype(np.uint8)
         for b, held in self.routes(buckets):
-            yield b, pack_sorted(self.triggers[held]), flags[held].tobytes(), *pack_ids(self.ids[first[held]], self.unnamed[first[held]])
+            packed = pack_sorted(self.triggers[held])
+            yield b, squeeze(packed), len(packed), squeeze(flags[held].tobytes())
 
     def routes(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, places of its triggers) in a fixed order."""
@@ -263,18 +264,14 @@ def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield b, order[cuts[b] : cuts[b + 1]]
 
 
-def settle(trigger: np.ndarray, flag: np.ndarray, ids: np.ndarray, unnamed: np.ndarray, most: int = 4096) -> np.ndarray:
-    """The code of each note of a trigger, from all notes of it: over ``most`` notes, or one that says so, make it crowded."""
+def settle(trigger: np.ndarray, flag: np.ndarray, most: int = 4096) -> np.ndarray:
+    """The code of each note of a trigger, from all parts' notes of it: over ``most`` notes, or one that says so, make it crowded."""
     code = np.zeros(len(trigger), np.uint8)
     if len(trigger):
-        _, entry = np.unique(trigger, return_inverse=True)
-        doc, n = ranked(ids, unnamed), entry.max() + 1
-        low, high, most_flag = np.full(n, len(doc)), np.full(n, -1), np.zeros(n, np.uint8)
-        np.minimum.at(low, entry, doc)
-        np.maximum.at(high, entry, doc)
-        np.maximum.at(most_flag, entry, flag)
-        crowded = (most_flag == 2) | (np.bincount(entry) > most)
-        code = np.where(crowded, CROWDED, np.where((most_flag > 0) | (low < high), SHARED, UNIQUE)).astype(np.uint8)[entry]
+        _, entry, notes = np.unique(trigger, return_inverse=True, return_counts=True)
+        flags = np.zeros(len(notes), np.uint8)
+        np.maximum.at(flags, entry, flag)
+        code = np.where((flags == 2) | (notes > most), CROWDED, np.where((flags > 0) | (notes > 1), SHARED, UNIQUE)).astype(np.uint8)[entry]
     return code
 
 
@@ -291,17 +288,17 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, length: int) -> np.n
 
 _ROWS = "kind int, bucket int, part long, a binary, b binary, c binary, d binary, e binary"
 _KINDS = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
-#: Kinds of rows: a part's texts, its notes of triggers, codes sent back, strings to compare, flags sent back.
-TEXTS, NOTES, CODES, STRINGS, FLAGS = range(5)
+_NOTES = "bucket int, part long, triggers binary, size long, flags binary"
+#: Kinds of rows: codes sent back, strings to compare, flags sent back.
+CODES, STRINGS, FLAGS = range(3)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 20, splits: int = 2, chunk: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every document.
 
     Removes each byte that a ``length``-byte string covers which also starts in a document with a smaller id. Rows are
-    dealt to ``splits`` parts a shuffle partition by a hash of id and text, so a task that runs again has the same ones.
-    First each part, compressed, is checkpointed with its notes of triggers, which meet in buckets and come back as
-    codes. Then the parts send the strings of triggers that several documents share; their buckets compare windows, in
+    dealt to ``splits`` parts (and strings to as many buckets) a shuffle partition by a hash of id and text, so a task that runs again has the same ones.
+    First the parts' notes of triggers meet in buckets and come back as codes, checkpointed. Then the parts send the strings of triggers that several documents share; their buckets compare windows, in
     chunks of about ``chunk`` bytes, and send a bit for each. Last the parts cut their texts. A string that any number
     of documents share is sent once a part; the windows of a trigger with very many strings go to buckets one by one.
 
@@ -309,39 +306,34 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     after all others; texts shorter than ``length`` stay whole; very long texts are parsed in one piece; repeated rows
     come out each; an empty table gives an empty result; other columns are ignored. ``kept`` is the remaining bytes.
     """
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts_in_all = partitions * splits  # more than partitions, as a hash deals them out unevenly
     doc_id, raw = at(docs, id_col).cast("long"), F.coalesce(at(docs, text_col).cast("string"), F.lit("")).cast("binary")
     rows = placed(docs).select(doc_id.alias("doc_id"), raw.alias("raw"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(buckets * splits)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(parts_in_all)))
 
-    def part_of(row: dict) -> Part:
-        sizes = unpack(row["b"], np.int64)
-        ids, unnamed = unpack_ids(row["c"], row["d"], len(sizes))
-        whole, ends = unsqueeze(row["a"], int(sizes.sum())), np.cumsum(sizes).tolist()
-        return Part([None if u else i for i, u in zip(ids.tolist(), unnamed.tolist(), strict=True)], [whole[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], Parser(length, gram))
+    def part_of(texts: pa.Table) -> Part:
+        raws = [unsqueeze(r, n) for r, n in zip(texts["raw"].to_pylist(), texts["size"].to_pylist(), strict=True)]
+        return Part(texts["doc_id"].to_pylist(), raws, Parser(length, gram))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array([squeeze(r) for r in raws], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), batch.column(2)], names=["doc_id", "raw", "size", "part"])
 
-    def note(table: pa.Table) -> pa.Table:
-        number = table["part"][0].as_py()
-        raws = [unsqueeze(r, n) for r, n in zip(table["raw"].to_pylist(), table["size"].to_pylist(), strict=True)]
-        part = Part(table["doc_id"].to_pylist(), raws, Parser(length, gram))
-        texts = (squeeze(b"".join(part.raws)), pack(np.array([len(r) for r in part.raws])), *pack_ids(part.ids, part.unnamed), b"")
-        return _table([(TEXTS, 0, number, *texts), *((NOTES, b, number, *sent, b"") for b, *sent in part.notes(buckets))])
+    def note(texts: pa.Table) -> pa.Table:
+        number = texts["part"][0].as_py()
+        return _table([(b, number, t, len_t, f) for b, t, len_t, f in part_of(texts).notes(buckets)], _NOTES, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))
 
     def code(table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
-        triggers = [unpack_sorted(r["a"]) for r in sent]
-        ids, unnamed = zip(*(unpack_ids(r["c"], r["d"], len(t)) for r, t in zip(sent, triggers, strict=True)), strict=True)
-        codes = settle(np.concatenate(triggers), np.concatenate([np.frombuffer(r["b"], np.uint8) for r in sent]), np.concatenate(ids), np.concatenate(unnamed))
+        triggers = [unpack_sorted(unsqueeze(r["triggers"], r["size"])) for r in sent]
+        codes = settle(np.concatenate(triggers), np.concatenate([np.frombuffer(unsqueeze(r["flags"], len(t)), np.uint8) for r, t in zip(sent, triggers, strict=True)]))
         ends = np.cumsum([len(t) for t in triggers])
         return _table([(CODES, r["bucket"], r["part"], codes[e - len(t) : e].tobytes(), b"", b"", b"", b"") for r, t, e in zip(sent, triggers, ends, strict=True)])
 
     def collated(texts: pa.Table, replies: list[dict]) -> Part:
-        part = part_of(texts.to_pylist()[0])
+        part = part_of(texts)
         part.collate({r["bucket"]: r["a"] for r in replies if r["kind"] == CODES}, buckets)
         return part
 
@@ -378,11 +370,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append((None if unnamed else doc_id, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return _table(out, _RESULT, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))
 
-    # Texts cross the network compressed, once by row, then as parts of one row; both later passes read one shuffle of them.
+    # Texts cross the network compressed, once for the notes and once for both later passes.
     small = rows.mapInArrow(shrink, "doc_id long, raw binary, size long, part long")
-    noted = cut(small.repartition(buckets, "part").groupBy("part").applyInArrow(note, _ROWS))
-    codes = cut(noted.where(F.col("kind") == NOTES).groupBy("bucket").applyInArrow(code, _ROWS))
-    parts = noted.where(F.col("kind") == TEXTS).repartition(buckets, "part").groupBy("part")
+    parts = small.repartition(partitions, "part").groupBy("part")
+    codes = cut(parts.applyInArrow(note, _NOTES).groupBy("bucket").applyInArrow(code, _ROWS))
     strings = parts.cogroup(codes.groupBy("part")).applyInArrow(send, _ROWS)
     flags = strings.groupBy("bucket").applyInArrow(compare, _ROWS)
     return parts.cogroup(codes.unionAll(flags).groupBy("part")).applyInArrow(finish, _RESULT)
