@@ -9,7 +9,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def licences(anchors: int = 3, least: float = 0.8) -> str:
+def licences(least: float = 0.8) -> str:
     words = [(t, i, w) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
     heads = []
     for t, (label, text, key) in enumerate(TEMPLATES):
@@ -26,8 +26,9 @@ w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws,1)-1 AS pos FROM
 hit AS (SELECT doc_id, label, pos-i AS start FROM w JOIN bw USING (word) GROUP BY doc_id, phrase, label, n, pos-i HAVING count(*)=n),
 base AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(start)::BIGINT AS first_word, max(start)::BIGINT AS last_word, list(DISTINCT label) AS labels FROM hit GROUP BY doc_id),
 idf AS (SELECT v.word, ln(((SELECT count(*) FROM documents)+1)::DOUBLE/(count(DISTINCT w.doc_id)+1))+1e-9 AS idf FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN w USING (word) GROUP BY v.word),
-anchor AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS r FROM (SELECT DISTINCT t, word FROM tw) JOIN idf USING (word)) WHERE r<={anchors}),
-vote AS (SELECT doc_id, tw.t, pos-tw.i AS start, count(*) AS n FROM w JOIN anchor USING (word) JOIN tw ON tw.t=anchor.t AND tw.word=anchor.word GROUP BY doc_id, tw.t, pos-tw.i HAVING count(*)>=2),
+run AS (SELECT t, i, word, max(idf) OVER g AS heaviest, coalesce(sum(idf) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS upto, sum(idf) OVER (PARTITION BY t) AS all_ FROM tw JOIN idf USING (word) WINDOW g AS (PARTITION BY t ORDER BY idf DESC, word, i)),
+posted AS (SELECT t, i, word FROM run WHERE upto=0 OR upto-heaviest<=(1-{least})*all_),
+vote AS (SELECT doc_id, p.t, pos-p.i AS start, count(*) AS n FROM w JOIN posted p USING (word) GROUP BY doc_id, p.t, pos-p.i HAVING count(*)>=2),
 fit AS (SELECT v.doc_id, v.t, v.start, sum(idf.idf) AS got, count(*) FILTER (tw.i>=th.key_at AND tw.i<th.key_at+th.key_n) AS key_hits FROM vote v JOIN th USING (t) JOIN tw USING (t) JOIN idf ON idf.word=tw.word JOIN w ON w.doc_id=v.doc_id AND w.pos=v.start+tw.i AND w.word=tw.word GROUP BY v.doc_id, v.t, v.start),
 whole AS (SELECT t, sum(idf) AS all_ FROM tw JOIN idf USING (word) GROUP BY t),
 found AS (SELECT doc_id, label, got/all_ AS share FROM fit JOIN th USING (t) JOIN whole USING (t) WHERE key_hits=key_n AND got/all_>={least}),
