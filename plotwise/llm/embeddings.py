@@ -17,12 +17,19 @@ from plotwise.llm.components import components
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return _unit(flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0)))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first, so that squares neither overflow nor vanish."""
+    if not v.size:
+        return v
+    v = v / np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def principal(vectors: DataFrame, dims: int) -> np.ndarray:
-    """The ``dims`` leading principal directions of all unit vectors; each task sends one matrix of sums, added up in tasks."""
+    """The ``dims`` leading principal directions of all unit vectors; each task sends one matrix of sums, added up in tasks, and the driver gets one row."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -34,13 +41,19 @@ def principal(vectors: DataFrame, dims: int) -> np.ndarray:
         if total is not None:
             yield pa.record_batch([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", "s"])
 
-    cells = vectors.select("embedding").mapInArrow(sums, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect()
-    if not cells:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if got:
+            matrix = np.zeros(sum(len(c) for c, _ in got))
+            for cell, value in got:
+                matrix[cell] = value
+            yield pa.record_batch([pa.array([matrix.astype("<f8").tobytes()])], names=["matrix"])
+
+    row = vectors.select("embedding").mapInArrow(sums, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s")).repartition(1).mapInArrow(whole, "matrix binary").first()
+    if row is None:
         return np.zeros((0, dims))
-    size = round(len(cells) ** 0.5)
-    total = np.zeros(size * size)
-    for row in cells:
-        total[row["cell"]] = row["s"]
+    total = np.frombuffer(row["matrix"], "<f8")
+    size = round(len(total) ** 0.5)
     total = total.reshape(size, size) / max(1.0, total[0])
     covariance = total[1:, 1:] - np.outer(total[0, 1:], total[0, 1:])
     directions = np.linalg.eigh((covariance + covariance.T) / 2)[1][:, ::-1][:, :dims]
@@ -135,6 +148,11 @@ class Joiner:
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array([self.degree[x] for x in ids], pa.int64()), pa.array([self.root(x) for x in ids], pa.int64())], names=["head", "n", "root"])
 
 
+def _width(valid: DataFrame) -> str:
+    """The bytes in which components travel: as they are, floats in four, others in eight."""
+    return "<f4" if valid.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def _blocks(valid: DataFrame, directions: np.ndarray, size: int, epsilon: float) -> DataFrame:
     """(block, ids, copies, vectors, low, high): the vectors in epsilon grid order, cut every ``size``.
 
@@ -155,7 +173,7 @@ def _blocks(valid: DataFrame, directions: np.ndarray, size: int, epsilon: float)
             yield pa.record_batch([*batch.columns[:3], pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64())], names=["head", "copies", "embedding", "part", "at"])
             done += n
 
-    kind = valid.schema["embedding"].dataType.simpleString()
+    kind, width = valid.schema["embedding"].dataType.simpleString(), _width(valid)
     base = f"head long, copies long, embedding {kind}"
     parts = max(1, int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = valid.select("head", "copies", "embedding").mapInArrow(cells, base + "".join(f", {c} int" for c in order))
@@ -176,7 +194,7 @@ def _blocks(valid: DataFrame, directions: np.ndarray, size: int, epsilon: float)
                 "block": table["block"].slice(0, 1),
                 "ids": [table["head"].to_numpy().astype("<i8").tobytes()],
                 "copies": [table["copies"].to_numpy().astype("<i8").tobytes()],
-                "vectors": [v.astype("<f8").tobytes()],
+                "vectors": [table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(width).tobytes()],
                 "low": pa.array([points.min(0).tolist()], pa.list_(pa.float64())),
                 "high": pa.array([points.max(0).tolist()], pa.list_(pa.float64())),
             }
@@ -231,11 +249,13 @@ def _linked(rows: DataFrame, d: int, threshold: float, dims: int, block: int) ->
     work = pairs.join(one, "i").join(two, "j").select("i", "j", "ids_i", "copies_i", "vectors_i", "ids_j", "copies_j", "vectors_j")
     work = work.repartition(F.col("i"), F.col("j"))
 
+    width = _width(valid)
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 i, j, *raw = (c[r].as_py() for c in batch.columns)
-                sides = [Block(np.frombuffer(a, "<i8"), np.frombuffer(c, "<i8"), np.frombuffer(v, "<f8").reshape(-1, d), directions) for a, c, v in (raw[:3], raw[3:])]
+                sides = [Block(np.frombuffer(a, "<i8"), np.frombuffer(c, "<i8"), _unit(np.frombuffer(v, width).astype(np.float64).reshape(-1, d)), directions) for a, c, v in (raw[:3], raw[3:])]
                 joiner = Joiner(threshold)
                 joiner.join(sides[0], sides[0] if i == j else sides[1], i == j)
                 if joiner.degree:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 
 from plotwise.llm.common import id_and_text, slices
 
-#: A single space between two ASCII letters or digits. No piece of the vocabularies holds such a
-#: space inside, so encoding both sides on their own gives the same tokens.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: A single space between two letters or digits of any script. No piece of the vocabularies holds such a space inside,
+#: and normalisation never joins a letter or digit to a space, so encoding both sides on their own gives the same tokens.
+_SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 def split_safely(text: str, most_chars: int) -> list[str]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -220,3 +221,77 @@ def test_empty_tables(spark):
     assert pii.digest(none).count() == 0
     assert pii.redact(none).count() == 0
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+def dense(n):
+    """A text of n e-mail addresses, addresses and phone numbers, some of which overlap."""
+    return " ".join(f"a{i}@b.example 10.0.{i % 256}.1 +49 30 12345{i % 90 + 10} tel 555-123-{i % 9000 + 1000:04d}" for i in range(n))
+
+
+def test_personal_data_in_a_span_dense_text(spark):
+    text = dense(4000)  # 250 KB, 16,000 spans: quadratic work would take minutes
+    begun = time.time()
+    row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    clean = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]["text"]
+    assert time.time() - begun < 120
+    base = [(s["start"], s["kind"], s["end"]) for s in row["pii_spans"] if s["kind"] in ("email", "ip", "card", "phone")]
+    assert base == [(a, k, z) for a, _, k, z in fx.base_spans(text)]
+    want, done = [], 0
+    for s in row["pii_spans"]:
+        if s["start"] >= done:
+            want += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
+        done = max(done, s["end"])
+    assert clean == "".join(want) + text[done:]
+
+
+def test_redaction_crosses_pages(spark):
+    rows = [(i, "é😀" * (2040 + i) + " x@y.example " + "ab" * 5000 + " 10.0.0.1") for i in range(12)]
+    for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["text"] == rows[r["doc_id"]][1].replace("x@y.example", "[EMAIL]").replace("10.0.0.1", "[IP]")
+
+
+def test_very_long_texts(spark):
+    """A few MB of one character, of line feeds, of words and of letters without spaces."""
+    long = ["z" * 2_000_000, "\n" * 1_500_000, "word " * 400_000, "日本" * 300_000, "мир и труд " * 100_000]
+    frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(4, "doc_id")
+    assert {r["doc_id"]: r["n_words"] for r in licences.scan_licences(frame).collect()} == {0: 1, 1: 0, 2: 400_000, 3: 1, 4: 300_000}
+    assert {r["doc_id"]: r["n_bytes"] for r in tokens.count_tokens(frame, tokenizer("piece_bpe_32k.model")).collect()} == {i: len(t.encode()) for i, t in enumerate(long)}
+    pieces = packing.pack(frame, tokenizer("byte_bpe_50k.json")).collect()
+    for i in range(len(long)):
+        own = sorted((p["start"], p["length"], p["doc_tokens"]) for p in pieces if p["doc_id"] == i)
+        assert [s for s, _, _ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+    assert {r["predicted"] for r in toxicity.score(frame, np.array([5], np.uint64), np.array([1.0]), -1.0).collect()} == {0}
+
+
+def test_character_grams_count_characters():
+    for text in ("日本語", "a", "", "straße", "x" * 10):
+        whole = f" {text.lower()} "
+        assert sum(len(w) for w in toxicity.windows_of(text)) == sum(len({whole[i : i + n] for i in range(len(whole) - n + 1)}) for n in toxicity.ORDERS)
+    text = "".join(random.Random(3).choices("abc", k=toxicity.WINDOW + 50))
+    first = {text[i : i + 6] for i in range(len(text) - 5)}
+    assert len(first) == 3**6 and all(len(w) <= 3**3 + 3**4 + 3**5 + 3**6 + 8 for w in toxicity.windows_of(text))
+
+
+def test_naive_bayes_ratios_and_fit_against_a_plain_one():
+    """The weights of a few features against counts and a plain gradient descent over dense rows."""
+    rng = random.Random(6)
+    pairs = [(" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12)) + (" poison" if i % 3 == 0 or i % 17 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    keys, weights, bias = toxicity.fit(pairs, 16)
+    sets = [set().union(*(set(w.tolist()) for w in toxicity.windows_of(t))) for t, _ in pairs]
+    y, base = np.array([label for _, label in pairs]), np.mean([label for _, label in pairs])
+    every = sorted(set().union(*sets))
+    x = np.array([[k in s for k in every] for s in sets], float)
+    n = x.sum(0)
+    z = np.where(n >= 3, np.abs(x[y == 1].sum(0) - n * base) / np.sqrt(n * base * (1 - base)), 0)
+    x = x[:, z >= 6]
+    assert keys.tolist() == [k for k, own in zip(every, z, strict=True) if own >= 6]
+    ratio = np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2))
+    f = x * ratio / np.sqrt([len(s) for s in sets])[:, None]
+    f /= np.sqrt((f**2).sum(1).mean())
+    v, b, sv, sb = np.ones(f.shape[1]), 0.0, 0.0, 0.0
+    for _ in range(80):
+        e = np.where(y > 0, 0.5 / base, 0.5 / (1 - base)) * (1 / (1 + np.exp(-(f @ v + b))) - y) / len(y)
+        sv, sb = 0.9 * sv - (f.T @ e + 1e-5 * v), 0.9 * sb - e.sum()
+        v, b = v + sv, b + sb
+    for t, row in zip((t for t, _ in pairs), f @ v + b, strict=True):
+        assert abs(toxicity.logit(t, keys, weights, bias) - row) < 1e-6
