@@ -437,26 +437,78 @@ def _fill(mask: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ benchmark corruptions
 
 
-def corrupt(ring: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-    """One of clean, noise, lobe, missing_wing, anisotropy, mirror, mislabel_90 applied to a model's ring."""
-    size = math.sqrt(abs(area(ring)))
+def densify(ring: np.ndarray, most: float) -> np.ndarray:
+    """Points added so that no side is longer than ``most``."""
+    side = np.roll(ring, -1, axis=0) - ring
+    count = np.maximum(1, np.ceil(np.hypot(side[:, 0], side[:, 1]) / most).astype(int))
+    at = np.concatenate([np.arange(n) / n for n in count])
+    return np.repeat(ring, count, axis=0) + at[:, None] * np.repeat(side, count, axis=0)
+
+
+def detour(ring: np.ndarray, inside: Callable[[np.ndarray], np.ndarray], path: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The ring with each stretch inside a region replaced by ``path`` from where it enters to where it leaves."""
+    size = float(np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum())
+    dense = densify(ring, size / 400)
+    held = inside(dense)
+    if held.all() or not held.any():
+        return ring
+    turn = -int(np.flatnonzero(~held)[0])
+    dense, held = np.roll(dense, turn, axis=0), np.roll(held, turn)
+
+    def border(out: np.ndarray, within: np.ndarray) -> np.ndarray:
+        for _ in range(40):
+            middle = (out + within) / 2
+            out, within = (out, middle) if inside(middle[None])[0] else (middle, within)
+        return out
+
+    rows, i, n = [], 0, len(dense)
+    while i < n:
+        if not held[i]:
+            rows.append(dense[i : i + 1])
+            i += 1
+            continue
+        j = i
+        while j < n and held[j]:
+            j += 1
+        rows.append(path(border(dense[i - 1], dense[i]), border(dense[j % n], dense[j - 1])))
+        i = j
+    return simplify(np.vstack(rows), 1e-9 * size)
+
+
+def corrupt(ring: np.ndarray, kind: str, rng: np.random.Generator, spacing: float = 10.0) -> np.ndarray:
+    """One of clean, noise, lobe, missing_wing, anisotropy, mirror, mislabel_90 applied to a counter-clockwise ring, in metres.
+
+    noise: points at most ``spacing`` apart move by half a metre. lobe: a disk about a point of the boundary is joined
+    on. missing_wing: two fifths of the least box's sides are cut off at one of its corners. anisotropy and mirror
+    stretch and turn over the longer side of that box. mislabel_90 leaves the ring alone: its pose is the wrong one.
+    """
+    box = ombb(ring)
+    frame = (ring - box["centre"]) @ rotation(box["angle"])
+    back = lambda g: g @ rotation(box["angle"]).T + box["centre"]
     if kind == "noise":
-        return ring + rng.normal(0, 0.5, ring.shape)
+        dense = densify(ring, spacing)
+        return dense + rng.normal(0, 0.5, dense.shape)
     if kind == "lobe":
-        turn = np.linspace(0, 2 * math.pi, 24, endpoint=False)
-        at = ring[int(rng.integers(len(ring)))]
-        return hull(np.vstack([ring, at + 0.18 * size * np.column_stack([np.cos(turn), np.sin(turn)])]))
+        radius = 0.18 * math.sqrt(abs(area(ring)))
+        centre = resample(ring, 4096)[int(rng.integers(4096))]
+
+        def arc(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            begin, end = (math.atan2(*(x - centre)[::-1]) for x in (p, q))
+            sweep = (end - begin) % (2 * math.pi)
+            turn = begin + np.linspace(0, sweep, max(2, math.ceil(sweep / (2 * math.pi / 24)) + 1))
+            return centre + radius * np.column_stack([np.cos(turn), np.sin(turn)])
+
+        return detour(ring, lambda x: ((x - centre) ** 2).sum(1) < radius * radius, arc)
     if kind == "missing_wing":
-        low, high = ring.min(0), ring.max(0)
-        corner = high - 0.4 * (high - low)
-        cut = np.array([low, [high[0], low[1]], [high[0], corner[1]], corner, [corner[0], high[1]], [low[0], high[1]]])
-        return cut if intersection_area([cut], [ring]) > 0.5 * abs(area(ring)) else ring
+        sign = rng.choice([-1.0, 1.0], 2)
+        corner = np.array([box["a"], box["b"]]) * 0.1
+        one_side = lambda x: abs(x[0] - corner[0]) < abs(x[1] - corner[1])
+        cut = lambda p, q: np.vstack([p, *([] if one_side(p) == one_side(q) else [corner]), q])
+        return back(detour(frame * sign, lambda x: (x > corner).all(1), cut) * sign)
     if kind == "anisotropy":
-        return ring * [1.15, 1.0]
+        return back(frame * [1.15, 1.0])
     if kind == "mirror":
-        return (ring * [-1.0, 1.0])[::-1]
-    if kind == "mislabel_90":
-        return ring @ rotation(math.pi / 2).T
+        return back(frame * [-1.0, 1.0])[::-1]
     return ring
 
 

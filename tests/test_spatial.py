@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotwise import catalogue, derive, kernels
 from plotwise.functions import coords, rings, strings
 from plotwise.operators import detect, evaluate, gate, height, learn, orient, select
+from plotwise.plans import placement
 
 RECT = np.array([(0, 0), (30, 0), (30, 18), (0, 18)], float)
 SQUARE = np.array([(0, 0), (20, 0), (20, 20), (0, 20)], float)
@@ -352,6 +353,28 @@ def test_near_clip_roof_and_weights():
     assert w[0, 0] == pytest.approx(0.02) and w[19, 0] == 1.0 and w[19, 29] == pytest.approx(0.02)
 
 
+def test_corruptions_are_what_they_say():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        for kind in ("lobe", "missing_wing"):
+            ring = kernels.corrupt(moved(RECT, 0.4, 1, 3, 3), kind, rng)
+            common = kernels.intersection_area([ring], [moved(RECT, 0.4, 1, 3, 3)])
+            if kind == "missing_wing":  # a corner of 0.4 by 0.4 of the sides is gone, all else is there
+                assert kernels.area(ring) == pytest.approx(540 * 0.84, rel=1e-6) and common == pytest.approx(540 * 0.84, rel=1e-6) and len(ring) == 6
+            else:  # nothing is gone, about half a disk is added away from corners
+                assert common == pytest.approx(540, rel=1e-6) and 0.4 < (kernels.area(ring) - 540) / (np.pi * 0.18**2 * 540) < 0.8
+
+
+def test_benchmark_trials(spark, sf):
+    rows = placement.gated(placement.benchmark_rows(spark, sf, rings=derive.l_rings(spark, sf).where("id <= 12"))).collect()
+    by = {k: [r for r in rows if r["corruption"] == k and r["config"] == "+nm"] for k in placement.KINDS}
+    assert all(r["gt_iou"] > 0.99 for r in by["clean"]) and sum(r["label"] for r in by["clean"]) >= 10
+    assert all(r["decision"] in ("auto_accept", "review", "reject") for r in rows)
+    assert sum(r["rot_err_deg"] < 10 for r in by["mislabel_90"]) <= 2  # started a quarter turn off
+    assert sum(r["gt_iou"] for r in by["mislabel_90"]) < sum(r["gt_iou"] for r in by["clean"])
+    assert all(abs(r["aniso"]) < 1e-9 for r in rows if r["config"] != "+nm_aniso")
+
+
 def test_solvers_take_every_ring(spark, sf):
     rings = {r["id"] for r in derive.l_rings(spark, sf).select("id").collect()}
     for name in ("icp_solve", "nelder_mead_solve", "camera_fit"):
