@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84.
@@ -131,3 +131,34 @@ def quadkey(lat: Column, lon: Column, zoom: int) -> Column:
     y = F.least(F.floor((0.5 - F.log((1 + s) / (1 - s)) / (4 * math.pi)) * n), F.lit(int(n) - 1)).cast("long")
     parts = [(F.shiftright(x, i).bitwiseAND(F.lit(1)) + 2 * F.shiftright(y, i).bitwiseAND(F.lit(1))).cast("string") for i in range(zoom - 1, -1, -1)]
     return F.concat(*parts)
+
+
+def ring_area_m2(area_deg2: Column, lat: Column) -> Column:
+    """Rough area of a small polygon given in square degrees at a latitude; for ranking only."""
+    return area_deg2 * (111320.0 * 111320.0) * F.cos(F.radians(lat))
+
+
+def with_undulation(points: DataFrame, grid: DataFrame, step: float, lat0: float, lon0: float) -> DataFrame:
+    """``points`` (lat, lon, ...) with ``undulation`` and ``method``: bilinear in a grid of (row, col, n) nodes.
+
+    Node (row, col) lies at lat0 + row * step, lon0 + col * step. Each node goes to the four cells it bounds, so a
+    point meets its cell by one equi-join; cells without all four nodes, or beyond 200 m, give null and a reason.
+    """
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    corner = grid.withColumn("s", F.explode(shifts))
+    at = lambda i, j: F.max(F.when((F.col("s.i") == i) & (F.col("s.j") == j), F.col("n")))
+    cells = corner.groupBy((F.col("row") - F.col("s.i")).alias("cell_row"), (F.col("col") - F.col("s.j")).alias("cell_col")).agg(at(0, 0).alias("n00"), at(0, 1).alias("n01"), at(1, 0).alias("n10"), at(1, 1).alias("n11"))
+    u, v = (F.col("lat") - lat0) / step, (F.col("lon") - lon0) / step
+    p = points.withColumns({"cell_row": F.floor(u), "cell_col": F.floor(v), "fu": u - F.floor(u), "fv": v - F.floor(v)})
+    low = F.col("n00") * (1 - F.col("fv")) + F.col("n01") * F.col("fv")
+    high = F.col("n10") * (1 - F.col("fv")) + F.col("n11") * F.col("fv")
+    n = low * (1 - F.col("fu")) + high * F.col("fu")
+    found = p.join(cells, ["cell_row", "cell_col"], "left").withColumn("undulation", F.when(F.abs(n) <= 200, n))
+    return found.withColumn("method", F.when(F.col("undulation").isNotNull(), "grid").otherwise("grid_unavailable")).drop("cell_row", "cell_col", "fu", "fv", "n00", "n01", "n10", "n11")
+
+
+def photo_aim(lat: Column, lon: Column, heading: Column, to_lat: Column, to_lon: Column) -> Column:
+    """STRUCT<bearing, distance_m, off_deg, ok>: whether a photo looks at a building: 40 degrees off and 1 km away at most; nulls are not ok."""
+    bearing, distance = great_circle_bearing(lat, lon, to_lat, to_lon), equirectangular_m(lat, lon, to_lat, to_lon)
+    off = angular_diff_deg(heading, bearing)
+    return F.struct(bearing.alias("bearing"), distance.alias("distance_m"), off.alias("off_deg"), F.coalesce((off <= 40) & (distance <= 1000), F.lit(False)).alias("ok"))

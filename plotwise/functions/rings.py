@@ -129,3 +129,8 @@ def transform_ring(ring: Column, theta: Column, sx: Column, sy: Column, tx: Colu
             (F.sin(theta) * sx * p["x"] + F.cos(theta) * sy * p["y"] + ty).alias("y"),
         ),
     )
+
+
+def contains_polygon(outer: Column, holes: Column, x: Column, y: Column) -> Column:
+    """Inside the outer ring and in none of the holes, an ARRAY of rings."""
+    return contains(outer, x, y) & ~F.exists(holes, lambda h: contains(h, x, y))

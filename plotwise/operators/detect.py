@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 PASSABLE = ("door", "garage_door", "entrance")
 BOX = ("x0", "y0", "x1", "y1")
 
+# Openings count as kept in place below these shares of the building's width.
+SHIFT_MEDIAN, SHIFT_P90 = 0.02, 0.05
+
 
 def pairs(boxes: DataFrame, test: Column, how: str = "inner") -> DataFrame:
     """Boxes ``a`` with other boxes ``o`` of their photo for which the test (over a.*, o.*) holds."""
@@ -83,3 +86,14 @@ def best_match(originals: DataFrame, others: DataFrame, least: float = 0.5) -> D
     joined = a.join(o, (F.col("a.photo") == F.col("o.photo")) & (iou() > least))
     best = F.min(F.struct((-F.round(iou(), 9)).alias("neg"), F.col("o.box").alias("box")))
     return joined.groupBy(F.col("a.photo").alias("photo"), F.col("a.box").alias("box")).agg(best.alias("m")).select("photo", "box", F.col("m.box").alias("match"))
+
+
+def shift_stats(matched: DataFrame, key: str) -> DataFrame:
+    """(key, originals, matched, unmatched, median_shift, p90_shift, passes) from one row an accepted opening.
+
+    ``shift`` is its move as a share of the building's width, null where it has no partner; none matched fails.
+    """
+    g = matched.groupBy(key).agg(F.count("*").alias("originals"), F.count("shift").alias("matched"), F.percentile("shift", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
+    median, p90 = F.round(F.col("q")[0], 4), F.round(F.col("q")[1], 4)
+    ok = F.coalesce((median < SHIFT_MEDIAN) & (p90 < SHIFT_P90), F.lit(False))
+    return g.select(key, "originals", "matched", (F.col("originals") - F.col("matched")).alias("unmatched"), median.alias("median_shift"), p90.alias("p90_shift"), ok.alias("passes"))

@@ -161,3 +161,34 @@ def evaluate(fits: DataFrame, model: dict | None = None) -> DataFrame:
         F.when(ok, checks()).alias("checks"),
         F.when(ok, forced()).alias("forced"),
     )
+
+
+def threshold_decision() -> Column:
+    """The table's decision a second time, from two conditions instead of ranks, with the match, parts and mirror rules.
+
+    Kept apart from ``table_rank`` on purpose: the two are held against each other.
+    """
+    iou, distance, ratio, aniso, common = (F.col(c) for c in ("iou", "hausdorff_m", "area_ratio", "aniso", "overlap"))
+    quality = F.coalesce(F.col("match_quality"), F.lit(""))
+    bad = (iou < 0.5) | (distance > 5.0) | ~ratio.between(0.7, 1.3) | (aniso >= 0.15) | (common > 0.10) | F.coalesce(F.col("mirrored"), F.lit(False))
+    doubt = (iou < 0.75) | (distance > 2.0) | ~ratio.between(0.85, 1.15) | (F.col("margin") < 0.05) | (F.col("rectilinearity") < 0.75) | (aniso > 0.05) | (common > 0.02)
+    return F.when(bad, REJECT).when(doubt | quality.isin("", "unnamed_sole_candidate") | F.coalesce(F.col("multipart"), F.lit(False)), REVIEW).otherwise(ACCEPT)
+
+
+def resolve_method(asked: str | None = None, flag: str | None = None, model: dict | None = None) -> tuple[str, str | None]:
+    """(method, reason): what was asked for, else the flag, else the table.
+
+    The learned gate without a model falls back to the table with a reason; one trained on synthetic rows is an error,
+    as are unknown names and flags.
+    """
+    flag = (flag or "").strip().lower()
+    if flag not in ("", "1", "true", "yes", "on", "0", "false", "no", "off"):
+        raise ValueError(f"flag {flag!r} is not recognised; use 1 or 0")
+    method = asked or ("learned" if flag in ("1", "true", "yes", "on") else "table")
+    if method not in ("table", "learned"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "learned" and model is None:
+        return "table", "no learned model"
+    if method == "learned" and model.get("trained_on_synthetic"):
+        raise ValueError("the model was trained on synthetic rows and must not gate placements")
+    return method, None

@@ -111,3 +111,42 @@ def pose_matrix(theta: Column, sx: Column, sy: Column, sz: Column, tx: Column, t
 
 def symmetry_label(margin_: Column, aspect: Column) -> Column:
     return F.when((margin_ < MIN_MARGIN) & (F.greatest(aspect, 1 / aspect) < SYMMETRIC_ASPECT), "symmetric").otherwise("distinct")
+
+
+def three_rungs(heading: Column, scores: Column, margin_: Column, road: Column, facades: Column, symmetric: Column) -> Column:
+    """STRUCT<k, by, review, conflict>: the shorter ladder over any number of candidates, numbered from 0.
+
+    ``facades`` holds each candidate's compass bearing (null array: the front is unknown, bearings say nothing) and
+    ``scores`` its silhouette score (null: none). A plausible heading decides, then silhouettes that lead by 0.08,
+    then the street; the last two rungs are guesses for review. Equal distances go to the better score, then in order.
+    """
+    score = lambda k: F.get(scores, k)
+    gap = lambda a, b: F.round(F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0), 6)
+    nearest = lambda b: F.array_min(F.transform(facades, lambda f, k: F.struct(gap(f, b).alias("gap"), (-F.coalesce(score(k), F.lit(0.0))).alias("neg"), k.alias("k"))))["k"]
+    known = F.coalesce(F.exists(scores, lambda s: s.isNotNull()), F.lit(False))
+    top = F.array_min(F.transform(scores, lambda s, k: F.struct((-F.coalesce(s, F.lit(-math.inf))).alias("neg"), k.alias("k"))))["k"]
+    plausible = F.coalesce(~F.isnan(heading) & (heading >= 0) & (heading < 360), F.lit(False))
+    exif = F.when(plausible, nearest(F.pmod(heading + 180.0, F.lit(360.0))))
+    silhouette = F.when(known & (margin_ >= SILHOUETTE_MARGIN), top)
+    street = nearest(F.pmod(road, F.lit(360.0)))
+    last = F.when(symmetric, F.lit("arbitrary_symmetric")).otherwise("aspect_ratio")
+    street = F.when(road.isNotNull(), street)
+    by = F.when(exif.isNotNull(), F.lit("exif_heading")).when(silhouette.isNotNull(), "silhouette").when(street.isNotNull(), "road_normal").otherwise(last)
+    conflict = F.when(exif.isNotNull() & silhouette.isNotNull(), exif != silhouette)
+    return F.struct(F.coalesce(exif, silhouette, street, top, F.lit(0)).cast("int").alias("k"), by.alias("by"), (exif.isNull() & silhouette.isNull()).alias("review"), conflict.alias("conflict"))
+
+
+def reviewed(choices: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """``choices`` (key, k, ...) with ``auto_k`` kept beside the latest review's turn; ``reviews`` is (key, at, forced).
+
+    Later reviews win, of those at one time the higher turn; only the turn is overruled.
+    """
+    last = reviews.where(F.col("forced").isNotNull()).groupBy(key).agg(F.max(F.struct("at", "forced"))["forced"].alias("forced"))
+    forced = F.pmod(F.col("forced"), F.lit(4)).cast("int")
+    return choices.join(last, key, "left").withColumn("auto_k", F.col("k")).withColumn("k", F.coalesce(forced, F.col("k"))).withColumn("by_reviewer", F.col("forced").isNotNull()).drop("forced")
+
+
+def true_turn(candidates_: DataFrame, key: str, truth: Column) -> DataFrame:
+    """(key, k): the candidate whose angle is nearest to the true one; ties keep the lower turn."""
+    off = F.abs(F.pmod(F.col("theta") - truth + math.pi, F.lit(2 * math.pi)) - math.pi)
+    return candidates_.groupBy(key).agg(F.min(F.struct(F.round(off, 9).alias("off"), "k"))["k"].alias("k"))

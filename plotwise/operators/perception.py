@@ -92,3 +92,22 @@ def select_box(boxes: DataFrame, key: str, width: float, height: float) -> DataF
     off = F.hypot((F.col("x0") + F.col("x1")) / 2 - width / 2, (F.col("y0") + F.col("y1")) / 2 - height / 2)
     merit = area * F.greatest(F.lit(0.0), 1 - off / ((width**2 + height**2) ** 0.5 / 2))
     return boxes.groupBy(key).agg(F.min(F.struct((-F.round(merit, 9)).alias("neg"), "box")).alias("m")).select(key, "m.box")
+
+
+def edge_factors(frame_score: Column, mullions: Column, contrast: Column) -> dict[str, Column]:
+    """Multiplier of each class, 0.8 to 1.1: frames raise all, mullions and dark insides speak for windows."""
+    clip = lambda v, low, high: F.least(F.lit(high), F.greatest(F.lit(low), v))
+    frame = 0.9 + 0.2 * clip((frame_score - 0.45) / 0.25, 0.0, 1.0)
+    bars, dark = F.least(F.lit(1.0), mullions / 4.0), clip(-contrast / 0.2, -1.0, 1.0)
+    favour = {"window": (1.0 + 0.1 * bars) * (1.0 + 0.05 * dark)} | {c: 1.0 - 0.2 * bars for c in PASSABLE}
+    return {c: clip(frame * favour.get(c, F.lit(1.0)), 0.8, 1.1) for c in (*CLASSES, *DISTRACTORS)}
+
+
+def mask_features(runs: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """(key, x0, y0, x1, y1, share, edges) of masks stored as disjoint runs (key, y, x0, x1), ends exclusive.
+
+    One map-side combined aggregate; empty masks have no runs and thus no row.
+    """
+    box = runs.where("x1 > x0").groupBy(key).agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), (F.max("y") + 1).alias("y1"), F.sum(F.col("x1") - F.col("x0")).alias("pixels"))
+    touched = [F.col("x0") <= 0, F.col("y0") <= 0, F.col("x1") >= width, F.col("y1") >= height]
+    return box.select(key, "x0", "y0", "x1", "y1", (F.col("pixels") / (width * height)).alias("share"), sum((t.cast("int") for t in touched[1:]), touched[0].cast("int")).alias("edges"))

@@ -42,9 +42,10 @@ def addresses(spark, d):
     return table(spark, d, "supplier").select(k.alias("aid"), (k % 40).alias("wanted"), ((k * 977) % 9000).cast("double").alias("px"), ((k * 613) % 7000).cast("double").alias("py"))
 
 
-_B = """b AS (SELECT p_partkey AS bid, p_partkey%40 AS number, ((p_partkey*3701)%9000)::DOUBLE AS x0, ((p_partkey*5303)%7000)::DOUBLE AS y0, ((p_partkey*3701)%9000)::DOUBLE+20+p_size*3 AS x1, ((p_partkey*5303)%7000)::DOUBLE+30+(p_partkey*7)%90 AS y1 FROM part),
+_AB = """b AS (SELECT p_partkey AS bid, p_partkey%40 AS number, ((p_partkey*3701)%9000)::DOUBLE AS x0, ((p_partkey*5303)%7000)::DOUBLE AS y0, ((p_partkey*3701)%9000)::DOUBLE+20+p_size*3 AS x1, ((p_partkey*5303)%7000)::DOUBLE+30+(p_partkey*7)%90 AS y1 FROM part),
 a AS (SELECT s_suppkey AS aid, s_suppkey%40 AS wanted, ((s_suppkey*977)%9000)::DOUBLE AS px, ((s_suppkey*613)%7000)::DOUBLE AS py FROM supplier),
-nb AS (SELECT * FROM (SELECT a.*, b.*, sqrt(pow(greatest(x0-px,px-x1,0),2)+pow(greatest(y0-py,py-y1,0),2)) AS d FROM a, b) WHERE d<=60),
+"""
+_B = _AB + """nb AS (SELECT * FROM (SELECT a.*, b.*, sqrt(pow(greatest(x0-px,px-x1,0),2)+pow(greatest(y0-py,py-y1,0),2)) AS d FROM a, b) WHERE d<=60),
 c AS (SELECT aid, bid, d, d=0 AS contained, number=wanted AS named FROM nb)"""
 _CHOSEN = """, f AS (SELECT aid, min(bid) FILTER (contained AND named) AS both_, count(*) FILTER (contained) AS nc, min(bid) FILTER (contained) AS cont, count(*) FILTER (named) AS nn, (min(struct_pack(d:=d,b:=bid)) FILTER (named AND d<=50)).b AS near_, count(*) FILTER (d<=50) AS nr, min(bid) FILTER (d<=50) AS only_ FROM c GROUP BY aid),
 s AS (SELECT aid, CASE WHEN both_ IS NOT NULL THEN both_ WHEN nc=1 THEN cont WHEN nn>0 THEN near_ WHEN nr=1 THEN only_ END AS bid, CASE WHEN both_ IS NOT NULL THEN 'contained_and_named' WHEN nc=1 THEN 'contained' WHEN nn>0 THEN 'name_match' WHEN nr=1 THEN 'unnamed_sole_candidate' END AS q FROM f)"""

@@ -115,3 +115,38 @@ def write_records(records: DataFrame, path: str) -> None:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records back; lines that don't parse are quarantined in ``bad``."""
     return spark.read.schema(f"{schema}, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
+
+
+def list_runs(records: DataFrame) -> DataFrame:
+    """(asset_id, label, decision, kind, at) of records (at, value: JSON text), for showing newest first.
+
+    Text that doesn't parse, or has no asset_id, is left out. Order by ``at`` where rows are shown.
+    """
+    schema = "asset_id string, address_raw string, decision string, fit struct<iou: double>, mesh_to_enu struct<mesh_frame: string>"
+    r = records.select("at", F.from_json("value", schema).alias("r")).select("at", "r.*").where(F.col("asset_id").isNotNull())
+    frame = F.col("mesh_to_enu.mesh_frame")
+    kind = F.when(frame == "gltf_scene", "mesh").when(frame == "unit_box_centred", "prism").otherwise("?")
+    iou = F.col("fit.iou")
+    label = F.concat(F.coalesce("address_raw", F.lit("?")), F.lit(" \u00b7 "), kind, F.lit(" \u00b7 "), F.coalesce("decision", F.lit("?")), F.when(iou.isNotNull(), F.concat(F.lit(" \u00b7 IoU "), F.format_string("%.2f", iou))).otherwise(""))
+    return r.select("asset_id", label.alias("label"), "decision", kind.alias("kind"), "at")
+
+
+def fingerprint(**settings: Column) -> Column:
+    """SHA-256 of a configuration as JSON, keys in order: results made with other settings are never read as these."""
+    return F.sha2(F.to_json(F.struct(*[settings[k].alias(k) for k in sorted(settings)])), 256)
+
+
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Rows with a ``fingerprint`` column, a folder each; only the fingerprints written are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """What one fingerprint holds: the filter prunes all other folders."""
+    return spark.read.parquet(path).where(F.col("fingerprint") == mark)
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Flat columns as CSV with a header; nested ones as JSON text."""
+    flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in rows.dtypes]
+    rows.select(*flat).write.mode("overwrite").option("header", True).csv(path)
