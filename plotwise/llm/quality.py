@@ -105,8 +105,11 @@ def _bin_edges(rows: DataFrame, key: list[str], bin_col: str, shares: dict[str,
     return hist.groupBy(*key).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col(bin_col))).alias(name) for name, q in shares.items()])
 
 
-def _with(rows: DataFrame, estimates: DataFrame, salts: int = 16) -> DataFrame:
-    """Rows joined to their key's estimates; a key's rows are dealt over ``salts`` keys, its one estimate repeated."""
+def _with(rows: DataFrame, estimates: DataFrame, few: bool, salts: int = 16) -> DataFrame:
+    """Rows joined to their key's estimates. Few keys (counted) are broadcast, so rows stay where they are; otherwise a
+    key's rows are dealt over ``salts`` keys, its one estimate repeated."""
+    if few:
+        return rows.join(F.broadcast(estimates), "key")
     copies = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.join(copies, ["key", "salt"])
 
@@ -191,7 +194,7 @@ def _starts(keyed: DataFrame, names: list[str], floors: list[float], starts: int
     return both.select("key", F.col("start").cast("int").alias("start"), "mean", factor.alias("factor"))
 
 
-def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: float = 0.75, starts: int = 4, short: int = 2, most_steps: int = 20, z: float = 10.0, least: int = 100) -> DataFrame:
+def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: float = 0.75, starts: int = 4, short: int = 2, most_steps: int = 20, z: float = 10.0, least: int = 100, most_broadcast: int = 10_000) -> DataFrame:
     """(row_id, distance) of the outlying rows of ``(row_id, lang, source, features...)``.
 
     Minimum covariance determinant per language and source: ``starts`` first estimates (medians and quartile ranges;
@@ -202,6 +205,7 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     if its squared distance exceeds the chi-squared quantile at ``z`` deviates. Groups under ``least`` rows, too few to
     estimate from, use their language's rows, and languages under ``least`` all rows. ``features`` gives each
     statistic's least standard deviation. Distances are told apart to 1/64 in log where rows are ranked by them.
+    Up to ``most_broadcast`` keys their estimates (about 1 kB a key) are broadcast, beyond that joined over salted keys.
     """
     names, floors = list(features), list(features.values())
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -215,27 +219,28 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     keyed = cut(rows.withColumn("salt", salt).join(copies, ["lang", "source", "salt"]).select("key", "salt", "row_id", *names))
 
     estimate = cut(_starts(keyed, names, floors, starts))
+    few = estimate.count() <= most_broadcast * starts
     for _ in range(short):
-        estimate = cut(_step(_with(keyed, estimate), _distance(names), share, names, floors))
+        estimate = cut(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
     chosen = estimate.groupBy("key").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("e")).select("key", "e.start", "e.mean", "e.factor", "e.logdet")
     estimate = cut(chosen)
     for _ in range(most_steps):
-        nearer = cut(_step(_with(keyed, estimate), _distance(names), share, names, floors))
-        fell = nearer.alias("new").join(estimate.alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
+        nearer = cut(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
+        fell = nearer.alias("new").join((F.broadcast(estimate) if few else estimate).alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
         estimate = nearer
         if fell is None or fell <= 1e-6:
             break
-    within = _scaled(keyed, estimate, names, keep=names).where(F.col("distance") <= _quantile(len(names), 1.96))
+    within = _scaled(keyed, estimate, names, few, keep=names).where(F.col("distance") <= _quantile(len(names), 1.96))
     reweighted = within.withColumn("start", F.lit(0)).groupBy("key", "start").agg(F.array(*[F.sum(m) for m in _moments(names)]).alias("sums"))
-    return _scaled(keyed, cut(_estimate(reweighted, floors)), names).select("row_id", "distance").where(F.col("distance") > _quantile(len(names), z))
+    return _scaled(keyed, cut(_estimate(reweighted, floors)), names, few).select("row_id", "distance").where(F.col("distance") > _quantile(len(names), z))
 
 
-def _scaled(keyed: DataFrame, estimate: DataFrame, names: list[str], keep: list[str] = ()) -> DataFrame:
+def _scaled(keyed: DataFrame, estimate: DataFrame, names: list[str], few: bool, keep: list[str] = ()) -> DataFrame:
     """key, row_id, distance and ``keep`` of every row, each key's squared distances divided so that their median is that of chi-squared, if it is above."""
-    measured = _with(keyed, estimate).select("key", "salt", "row_id", *keep, _distance(names).alias("distance"))
+    measured = _with(keyed, estimate, few).select("key", "salt", "row_id", *keep, _distance(names).alias("distance"))
     middle = _bin_edges(measured.withColumn("bin", F.floor(64 * F.log(F.col("distance") + 1e-9))), ["key"], "bin", {"half": 0.5})
     middle = middle.select("key", F.greatest(F.lit(1.0), F.exp((F.col("half") + 1) / 64.0) / _quantile(len(names), 0.0)).alias("scale"))
-    return _with(measured, middle).select("key", "row_id", *keep, (F.col("distance") / F.col("scale")).alias("distance"))
+    return _with(measured, middle, few).select("key", "row_id", *keep, (F.col("distance") / F.col("scale")).alias("distance"))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -443,3 +443,9 @@ def test_filters_keep_every_column_and_clean_rows(spark):
             assert out.columns == frame.columns
             for r in out.collect():
                 assert all(r[c] == "c" for c in fx.CLASHING if c in frame.columns)
+
+
+def test_quality_verdicts_do_not_depend_on_how_estimates_travel(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few, many = (sorted((r.doc_id, r.kept) for r in quality.judge(docs, **o).collect()) for o in ({}, {"most_broadcast": 0}))
+    assert few == many and not all(k for _, k in few)
