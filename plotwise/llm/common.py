@@ -70,6 +70,12 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     return frame.checkpoint(eager)
 
 
+def held(frame: DataFrame, most: int) -> DataFrame | None:
+    """A frame of at most ``most`` rows as a table of the driver's own, without lineage or files; None if it has more."""
+    rows = frame.limit(most + 1).toArrow()
+    return frame.sparkSession.createDataFrame(rows, frame.schema) if rows.num_rows <= most else None
+
+
 def write(frame: DataFrame) -> str:
     """The folder of a new Parquet table of the frame, in the shared checkpoint folder; compressed, unlike a checkpoint."""
     path = f"{reliable(frame.sparkSession)}/{uuid.uuid4().hex}"

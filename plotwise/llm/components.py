@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from plotwise.llm.common import cut
 
+#: Edges in a file of a round's checkpoint, and the least number of files (and so of tasks) in a round.
+PER_FILE, LEAST_FILES = 100_000, 12
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch's edges replaced by stars onto the smallest node of each of its groups: never more rows than came in."""
@@ -42,16 +45,20 @@ def _with_least(rows: DataFrame, key: str, other: str, least: DataFrame, salts:
     return dealt.join(copies, [key, "salt"])
 
 
-def components(edges: DataFrame, most_rounds: int = 100, salts: int = 16) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100, salts: int = 16, forest: bool = False) -> DataFrame:
     """(node, component) for every node of the edges ``(a, b)``; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each edge batch first reduced to a
-    forest in its own task. Every round ends in a reliable checkpoint. Minima are aggregated map-side, and
-    joined back over ``salts`` keys a node, so a hub's neighbours never meet in one task. Self-loops, repeated
+    forest in its own task, unless the edges are a ``forest`` from a Python function already: a second one behind
+    it would hold a second worker in each task. Every round ends in a reliable checkpoint. Minima are aggregated map-side, and
+    joined back over ``salts`` keys a node, so a hub's neighbours never meet in one task. A round's checkpoint has a
+    file for each ``PER_FILE`` edges of the last one, not for each shuffle partition. Self-loops, repeated
     and reversed edges do no harm; without edges the result is empty.
     """
-    now = cut(_contract(edges.select(F.greatest("a", "b").cast("long").alias("high"), F.least("a", "b").cast("long").alias("low")).where("high <> low")))
+    now = edges.select(F.greatest("a", "b").cast("long").alias("high"), F.least("a", "b").cast("long").alias("low")).where("high <> low")
+    now = cut(now if forest else _contract(now))
     before = None
+    files = max(LEAST_FILES, -(-now.count() // PER_FILE))
     for _ in range(most_rounds):
         # Large star: each node hands its larger neighbours the smallest node it knows. An edge (high, low) is low's
         # larger neighbour; the smallest that low knows is itself or the least low of its own edges as a high.
@@ -61,11 +68,11 @@ def components(edges: DataFrame, most_rounds: int = 100, salts: int = 16) -> Dat
         # Small star: each node hands its smaller neighbours, and itself, the smallest of them.
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         small = _with_least(large, "high", "low", least, salts).select(F.explode(F.array(F.struct("high", F.col("m").alias("low")), F.struct(F.col("low").alias("high"), F.col("m").alias("low")))).alias("e")).select("e.*").where("high <> low")
-        now = cut(_contract(small.distinct()))
+        now = cut(_contract(small.distinct().coalesce(files)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, files = state, max(LEAST_FILES, -(-state[0] // PER_FILE))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tree = now.groupBy("high").agg(F.min("low").alias("low"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwise.llm.common import at, cut, named, placed, slices
+from plotwise.llm.common import at, cut, held, named, placed, slices
 
 # Characters that count as symbols, and the white space that parts words.
 SYMBOLS = "#*$%&|<>"
@@ -205,7 +205,9 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     if its squared distance exceeds the chi-squared quantile at ``z`` deviates. Groups under ``least`` rows, too few to
     estimate from, use their language's rows, and languages under ``least`` all rows. ``features`` gives each
     statistic's least standard deviation. Distances are told apart to 1/64 in log where rows are ranked by them.
-    Up to ``most_broadcast`` keys their estimates (about 1 kB a key) are broadcast, beyond that joined over salted keys.
+    Up to ``most_broadcast`` languages and sources, counted, their estimates (about 1 kB a key and start) pass through
+    the driver and are broadcast, so ``rows`` are read in place at each step and should be materialised; beyond that
+    they are checkpointed and joined over salted keys.
     """
     names, floors = list(features), list(features.values())
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -214,25 +216,32 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
         "lang", "source",
         F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= least, F.to_json(F.array("lang"))).otherwise(F.lit("[]")).alias("key"),
     )
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(16)).cast("int")
-    copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    keyed = cut(rows.withColumn("salt", salt).join(copies, ["lang", "source", "salt"]).select("key", "salt", "row_id", *names))
-
-    estimate = cut(_starts(keyed, names, floors, starts))
-    few = estimate.count() <= most_broadcast * starts
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(16)).cast("int"))
+    kept = held(keys, most_broadcast)
+    if few := kept is not None:
+        keyed = salted.join(F.broadcast(kept), ["lang", "source"]).select("key", "salt", "row_id", *names)
+    else:
+        copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        keyed = cut(salted.join(copies, ["lang", "source", "salt"]).select("key", "salt", "row_id", *names))
+
+    def settled(estimate: DataFrame) -> DataFrame:
+        # A key belongs to a pair, a language or all: at most twice the pairs and one.
+        return held(estimate, (2 * most_broadcast + 1) * starts) if few else cut(estimate)
+
+    estimate = settled(_starts(keyed, names, floors, starts))
     for _ in range(short):
-        estimate = cut(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
+        estimate = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
     chosen = estimate.groupBy("key").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("e")).select("key", "e.start", "e.mean", "e.factor", "e.logdet")
-    estimate = cut(chosen)
+    estimate = settled(chosen)
     for _ in range(most_steps):
-        nearer = cut(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
+        nearer = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
         fell = nearer.alias("new").join((F.broadcast(estimate) if few else estimate).alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
         estimate = nearer
         if fell is None or fell <= 1e-6:
             break
     within = _scaled(keyed, estimate, names, few, keep=names).where(F.col("distance") <= _quantile(len(names), 1.96))
     reweighted = within.withColumn("start", F.lit(0)).groupBy("key", "start").agg(F.array(*[F.sum(m) for m in _moments(names)]).alias("sums"))
-    return _scaled(keyed, cut(_estimate(reweighted, floors)), names, few).select("row_id", "distance").where(F.col("distance") > _quantile(len(names), z))
+    return _scaled(keyed, settled(_estimate(reweighted, floors)), names, few).select("row_id", "distance").where(F.col("distance") > _quantile(len(names), z))
 
 
 def _scaled(keyed: DataFrame, estimate: DataFrame, names: list[str], few: bool, keep: list[str] = ()) -> DataFrame:

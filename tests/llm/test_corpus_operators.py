@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 
 from plotwise.llm import embeddings, mixing, quality, repeats, simhash, similar
+from plotwise.llm.common import held
 from plotwise.llm.components import components
 from plotwise.llm.suffixes import PrefixFreeParse
 from tests.llm import fixtures as fx
@@ -73,6 +74,18 @@ def test_components_on_chains_stars_and_nothing(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[i] == 100 for i in range(100, 140)) and len(found) == 101
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    forest = [(i, i // 3) for i in range(1, 200)] + [(500 + i, 500) for i in range(1, 50)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(forest, "a long, b long").repartition(7), forest=True).collect()}
+    assert found == {i: 0 for i in range(200)} | {500 + i: 500 for i in range(50)}
+
+
+def test_held_keeps_few_rows_and_refuses_more(spark):
+    rows = spark.range(5).selectExpr("id", "cast(null as string) as name", "array(id / 3.0D) as v")
+    kept = held(rows, 5)
+    assert kept.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+    assert held(rows, 4) is None
+    assert held(rows.limit(0), 0).count() == 0
 
 
 def test_keep_one_keeps_columns_and_one_of_each(spark):
