@@ -166,19 +166,19 @@ def atlas_shelves(spark, d):
 @query("camera_fit")
 def camera_fit(spark, d):
     """Camera offsets recovered from the silhouette of every L prism, over a small grid."""
-    r = l_rings(spark, d).select("id", "ring").repartition(64, "id")
 
-    def run(id, ring):  # noqa: A002
-        p = np.array([(q["x"], q["y"]) for q in ring])
-        at = p.mean(0) - [0, 90]
-        cam = {"position": np.array([*at, 1.7]), "yaw": 0.0, "pitch": 5.0, "f": 60.0}
-        truth = cam | {"yaw": 2.0, "position": cam["position"] + [4.0, 0.0, 0.0]}
-        fit = kernels.fit_camera(p, 12.0, kernels.silhouette(p, 12.0, truth, 64, 48), cam, yaws=np.arange(-4, 5, 2.0), pitches=np.array([0.0]), shifts=np.arange(-8, 9, 4.0), fine=np.array([-2.0, 0.0, 2.0]))
-        return id, fit["iou"], fit["yaw"], fit["dx"], fit["dy"]
+    def run(rings):
+        fits = []
+        for p in rings:
+            at = p.mean(0) - [0, 90]
+            cam = {"position": np.array([*at, 1.7]), "yaw": 0.0, "pitch": 5.0, "f": 60.0}
+            truth = cam | {"yaw": 2.0, "position": cam["position"] + [4.0, 0.0, 0.0]}
+            fits.append(kernels.fit_camera(p, 12.0, kernels.silhouette(p, 12.0, truth, 64, 48), cam, yaws=np.arange(-4, 5, 2.0), pitches=np.array([0.0]), shifts=np.arange(-8, 9, 4.0), fine=np.array([-2.0, 0.0, 2.0])))
+        return [[f[c] for f in fits] for c in ("iou", "yaw", "dx", "dy")]
 
-    from plotwise.plans.placement import kernel_rows
+    from plotwise.plans.placement import ring_kernel
 
-    return kernel_rows(r, run, "id long, iou double, yaw double, dx double, dy double", "id", "ring")
+    return ring_kernel(l_rings(spark, d).select("id", "ring"), run, "id long, iou double, yaw double, dx double, dy double")
 
 
 @query("roof_frames")
