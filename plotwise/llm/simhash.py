@@ -35,6 +35,11 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     shingles = [line[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
     hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+    return digest(hashes)
+
+
+def digest(hashes: np.ndarray) -> int:
+    """The fingerprint of hashed shingles: each bit is set if it is set in over half of them; zero without any."""
     bits = bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 

@@ -1,4 +1,4 @@
-"""Near copies by exact similarity: min-hash bands propose, whole sets of word shingles confirm, one row a group stays."""
+"""Near copies: SimHash groups and min-hash bands propose, whole sets of word shingles confirm, one row a group stays."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
+from plotwise.llm import simhash
 from plotwise.llm.common import at, cut, named, placed
 from plotwise.llm.components import components
 
@@ -115,12 +116,19 @@ def _verified(members: DataFrame, width: int, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def simhash_cells(prints: DataFrame) -> DataFrame:
+    """(fp, cell) of the distinct ``prints.fp``: one cell a component of fingerprints linked by op7's grid join; a fingerprint without links is its own."""
+    linked = components(simhash.near_pairs(prints)).withColumnRenamed("node", "fp")
+    return prints.join(linked, "fp", "left").select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("cell"))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = 1024) -> DataFrame:
     """One row of each group of near copies: the least by id (nulls last), hash of the text, and place in the table.
 
     Rows whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more are linked; groups are
-    the links' components. Equal sets become one row first, map-side, whatever their ids. Rows that share a min-hash
-    band are candidates. The candidates' components are found without texts; each meets in a task, where whole sets
+    the links' components. Equal sets become one row first, map-side, whatever their ids. Rows whose SimHash
+    fingerprints (of the same shingles) the segment-popcount grid of ``simhash.near_pairs`` links are candidates, and
+    so are rows that share a min-hash band, as similar sets mostly lie further apart than any grid over 64 bits reaches. The candidates' components are found without texts; each meets in a task, where whole sets
     decide, and one of over ``most`` rows is dealt into blocks, of which every two meet in a task of their own, so no
     task holds more than about twice ``most`` rows. ``docs`` must read in the same order each time, as files do.
 
@@ -135,15 +143,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_set(t.as_py(), width) for t in batch.column(1))
-            found = [(xxh3_128_digest(s.tobytes()), bands(s)) for s in sets]
-            keys = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, np.concatenate([k for _, k in found]) if found else np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([d for d, _ in found], pa.binary()), keys], names=["row", "doc_id", "hash", "same", "bands"])
+            found = [(xxh3_128_digest(s.tobytes()), bands(s), simhash.digest(s)) for s in sets]
+            keys = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * BANDS, np.concatenate([k for _, k, _ in found]) if found else np.zeros(0, np.int64))
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array([d for d, _, _ in found], pa.binary()), keys, pa.array(np.array([p for _, _, p in found], np.uint64).view(np.int64))], names=["row", "doc_id", "hash", "same", "bands", "fp"])
 
-    known = own.mapInArrow(run, "row long, doc_id long, hash long, same binary, bands array<long>")
+    known = own.mapInArrow(run, "row long, doc_id long, hash long, same binary, bands array<long>, fp long")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "row")
-    alike = known.groupBy("same").agg(F.min(F.struct(rank.alias("rank"), "bands")).alias("head"))
-    heads = cut(alike.select("head.rank.row", "head.rank", "head.bands").withColumnRenamed("row", "node"))
-    cells = heads.select("node", F.explode("bands").alias("cell"))
+    alike = known.groupBy("same").agg(F.min(F.struct(rank.alias("rank"), "bands", "fp")).alias("head"))
+    heads = cut(alike.select("head.rank.row", "head.rank", "head.bands", "head.fp").withColumnRenamed("row", "node"))
+    prints = cut(simhash_cells(heads.select("fp").distinct()))
+    marked = heads.join(prints, "fp").select("node", F.concat("bands", F.array("cell")).alias("bands"))
+    cells = marked.select("node", F.explode("bands").alias("cell"))
     links = cells.select("node", F.lag("node").over(Window.partitionBy("cell").orderBy("node")).alias("last")).where("last is not null").distinct()
     candidates = cut(components(links.toDF("a", "b")).withColumnRenamed("component", "group"))
     sizes = candidates.groupBy("group").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
@@ -151,7 +161,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = candidates.join(sizes, "group").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
     # With two blocks or more a row also meets its own block in each of its pairs, so (block, block) is left out.
     pairs = pairs.where("blocks = 1 or other <> block").select("node", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    members = own.select(F.col("row").alias("node"), "text").join(pairs.join(heads.select("node", "bands"), "node"), "node")
+    members = own.select(F.col("row").alias("node"), "text").join(pairs.join(marked, "node"), "node")
     same = components(_verified(members, width, least), forest=True)
     groups = heads.join(same, "node", "left").select(F.coalesce("component", "node").alias("component"), "rank")
     kept = groups.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
