@@ -105,13 +105,13 @@ def _bin_edges(rows: DataFrame, key: list[str], bin_col: str, shares: dict[str,
     return hist.groupBy(*key).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col(bin_col))).alias(name) for name, q in shares.items()])
 
 
-def _with(rows: DataFrame, estimates: DataFrame, few: bool, salts: int = 16) -> DataFrame:
+def _with(rows: DataFrame, estimates: DataFrame, few: bool, salts: int = 16, on: tuple[str, ...] = ("key",)) -> DataFrame:
     """Rows joined to their key's estimates. Few keys (counted) are broadcast, so rows stay where they are; otherwise a
     key's rows are dealt over ``salts`` keys, its one estimate repeated."""
     if few:
-        return rows.join(F.broadcast(estimates), "key")
+        return rows.join(F.broadcast(estimates), list(on))
     copies = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(copies, ["key", "salt"])
+    return rows.join(copies, [*on, "salt"])
 
 
 def _distance(names: list[str]) -> Column:
@@ -156,19 +156,20 @@ def _moments(names: list[str]) -> list[Column]:
     return [F.lit(1.0), *map(F.col, names), *(F.col(names[i]) * F.col(names[j]) for i in range(len(names)) for j in range(i + 1))]
 
 
-def _step(rows: DataFrame, distance: Column, share: float, names: list[str], floors: list[float]) -> DataFrame:
+def _step(rows: DataFrame, distance: Column, share: float, names: list[str], floors: list[float], few: bool) -> DataFrame:
     """A concentration step: the estimate of each key and start from its ``share`` of rows with the smallest distances.
 
-    Distances fall into bins of 1/64 in log; moments are summed by key, start and bin map-side, and whole bins are
-    taken until they hold the share, so no key's rows meet in one task.
+    Distances fall into bins of 1/64 in log, and whole bins are taken until they hold the share. First the rows of each
+    bin are counted, which tells the last bin of each key and start; then the moments of the rows up to it are summed by
+    key and start map-side. So no key's rows meet in one task, and only counts are shuffled by bin.
     """
-    moments = _moments(names)
     binned = rows.withColumn("bin", F.floor(64 * F.log(distance + 1e-9)))
-    sums = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(m).alias(f"m{i}") for i, m in enumerate(moments)])
     by = Window.partitionBy("key", "start")
-    sums = sums.withColumn("before", F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(by))
-    inner = sums.where(F.col("before") < F.ceil(F.col("all") * share)).groupBy("key", "start").agg(F.array(*[F.sum(f"m{i}") for i in range(len(moments))]).alias("sums"))
-    return _estimate(inner, floors)
+    counted = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("before", F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(by))
+    last = counted.where(F.col("before") < F.ceil(F.col("all") * share)).groupBy("key", "start").agg(F.max("bin").alias("last"))
+    inner = _with(binned, last, few, on=("key", "start")).where(F.col("bin") <= F.col("last"))
+    return _estimate(inner.groupBy("key", "start").agg(F.array(*[F.sum(m) for m in _moments(names)]).alias("sums")), floors)
 
 
 def _quantile(p: int, z: float) -> float:
@@ -230,11 +231,11 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
 
     estimate = settled(_starts(keyed, names, floors, starts))
     for _ in range(short):
-        estimate = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
+        estimate = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors, few))
     chosen = estimate.groupBy("key").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("e")).select("key", "e.start", "e.mean", "e.factor", "e.logdet")
     estimate = settled(chosen)
     for _ in range(most_steps):
-        nearer = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors))
+        nearer = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors, few))
         fell = nearer.alias("new").join((F.broadcast(estimate) if few else estimate).alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
         estimate = nearer
         if fell is None or fell <= 1e-6:

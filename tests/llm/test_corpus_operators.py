@@ -462,3 +462,28 @@ def test_quality_verdicts_do_not_depend_on_how_estimates_travel(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     few, many = (sorted((r.doc_id, r.kept) for r in quality.judge(docs, **o).collect()) for o in ({}, {"most_broadcast": 0}))
     assert few == many and not all(k for _, k in few)
+
+
+def test_near_copies_come_from_simhash_too(spark):
+    prints = [0, 1, 0b111, 1 << 40, (1 << 40) | (1 << 50), -1, 0x0F0F0F0F0F0F0F0F]
+    cell = {r["fp"]: r["cell"] for r in similar.simhash_cells(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
+    assert set(cell) == set(prints)
+    assert cell[0] == cell[1] == cell[0b111] == cell[1 << 40] == cell[(1 << 40) | (1 << 50)]
+    assert len(set(cell.values())) == 3
+
+
+def test_steps_of_the_quality_estimate_shuffle_counts_only(spark, sf):
+    """By bin only counts travel, moments by key and start."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(str(i % 3), 0, i % 16, float(i), float(i * i % 7)) for i in range(300)], "key string, start int, salt int, a double, b double")
+    floors, distance = [0.1, 0.1], F.col("a") + 0.5
+    got = {few: {r["key"]: r for r in quality._step(rows, distance, 0.75, ["a", "b"], floors, few).collect()} for few in (True, False)}
+    plan = quality._step(rows, distance, 0.75, ["a", "b"], floors, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("sum" not in line for line in plan.splitlines() if "Aggregate [key" in line and "bin" in line.split("]")[0])
+    for key in "012":
+        a = np.array([float(i) for i in range(300) if str(i % 3) == key])
+        bins = np.floor(64 * np.log(a + 0.5 + 1e-9))
+        inside = a[bins <= np.sort(bins)[int(np.ceil(0.75 * len(a))) - 1]]
+        assert got[True][key]["mean"][0] == pytest.approx(inside.mean()) and got[False][key]["mean"] == pytest.approx(got[True][key]["mean"])
