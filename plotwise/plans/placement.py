@@ -102,7 +102,55 @@ def neighbour_overlap_boxes(spark, d):
 
 @query("overlap_best_match", "WITH " + _OVER + " SELECT bid, (max(struct_pack(c:=common, h:=h, o:=other))).o AS other, round(sum(common)/any_value(area),6) AS coverage, min(h) AS low, max(h) AS high FROM o GROUP BY bid")
 def overlap_best_match(spark, d):
-    return overlaps(spark, d).groupBy("bid").agg(F.max(F.struct("common", "h", "other"))["other"].alias("other"), r6(F.sum("common") / F.first("area")).alias("coverage"), F.min("h").alias("low"), F.max("h").alias("high"))
+    """Pairs are made and summed up by cell in numpy, so only a row a box and cell is grouped; crowded maps have pairs by the square of the boxes."""
+    size = 128.0
+    b = buildings(spark, d)
+    cell = F.explode(select.cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("c")
+    dealt = b.select("bid", "number", "x0", "y0", "x1", "y1", cell).select("*", "c.cx", "c.cy").drop("c").repartition(SOLVER_TASKS, "cx", "cy").sortWithinPartitions("cx", "cy")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in found:  # a cell's rows may go on in the next batch
+            t = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(8)])
+            t = t if carried is None else np.concatenate([carried, t])
+            cuts = np.flatnonzero((np.diff(t[:, 6:], axis=0) != 0).any(1)) + 1
+            *whole, carried = np.split(t, cuts)
+            for part in whole:
+                yield from best_in_cell(part, size)
+        if carried is not None:
+            yield from best_in_cell(carried, size)
+
+    part = dealt.mapInArrow(run, "bid long, area double, common double, h long, other long, total double, low long, high long")
+    best = F.max(F.struct("common", "h", "other"))["other"]
+    return part.groupBy("bid").agg(best.alias("other"), r6(F.sum("total") / F.first("area")).alias("coverage"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def best_in_cell(t: np.ndarray, size: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bid, h, x0, y0, x1, y1, cx, cy) of one cell: of each box with a neighbour whose common area's lower corner lies
+    in the cell, the largest (common, h, other), the sum of common areas and the range of h."""
+    t = t[np.lexsort((t[:, 0], t[:, 1]))]  # by h, then bid: the last of equal areas is the best
+    bid, h, x0, y0, x1, y1 = t[:, :6].T
+    cx, cy = t[0, 6], t[0, 7]
+    rows, last = max(1, (1 << 18) // len(t)), len(t) - 1
+    for i in range(0, len(t), rows):
+        at = slice(i, i + rows)
+        lx, ly = np.maximum(x0[at, None], x0), np.maximum(y0[at, None], y0)
+        w, tall = np.minimum(x1[at, None], x1) - lx, np.minimum(y1[at, None], y1) - ly
+        # The lower corner lies within both boxes, so it's in the cell if it isn't below or left of it, nor beyond it.
+        ok = (w > 0) & (tall > 0) & (np.floor(lx / size) == cx) & (np.floor(ly / size) == cy) & (bid[at, None] != bid)
+        met = ok.any(1)
+        if not met.any():
+            continue
+        ok, common = ok[met], (w[met] * tall[met])
+        common[~ok] = -1.0
+        best = last - common[:, ::-1].argmax(1)
+        every = np.arange(len(best))
+        own = np.arange(len(t))[at][met]
+        area = (x1[own] - x0[own]) * (y1[own] - y0[own])
+        low, high = h[ok.argmax(1)], h[last - ok[:, ::-1].argmax(1)]
+        whole = lambda v: pa.array(v.astype(np.int64))
+        columns = [whole(bid[own]), pa.array(area), pa.array(common[every, best]), whole(h[best]), whole(bid[best]), pa.array(np.where(ok, common, 0.0).sum(1)), whole(low), whole(high)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bid", "area", "common", "h", "other", "total", "low", "high"])
 
 
 # ---------------------------------------------------------------- poses
