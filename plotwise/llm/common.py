@@ -1,8 +1,7 @@
-"""Shared pieces: the column contract of text operators, and reliable lineage cuts."""
+"""Shared pieces: the column contract of text operators, and their tables between stages."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwise.session import cut, reliable  # noqa: F401
+
 
 def placed(frame: DataFrame) -> DataFrame:
     """The frame with its columns named by place (_0, _1, ...), so none of its names can clash with an operator's own."""
@@ -51,25 +52,6 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
             start = stop
 
 
-def reliable(spark: SparkSession) -> str:
-    """Make checkpoint() usable and name its folder: the cluster's shared one, or in local mode, where none is named, one of our own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="plotwise-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
-    """The frame read back from a reliable checkpoint, which outlives lost executors."""
-    reliable(frame.sparkSession)
-    return frame.checkpoint(eager)
-
-
 def held(frame: DataFrame, most: int) -> DataFrame | None:
     """A frame of at most ``most`` rows as a table of the driver's own, without lineage or files; None if it has more."""
     rows = frame.limit(most + 1).toArrow()

@@ -394,3 +394,35 @@ def test_leave_one_out_matches_one_fit_a_fold(spark):
         p = learn.probability(learn.fit(x[~own, None], y[~own].astype(float)), x[own, None])
         want += [(int(k), round(float(v), 9)) for v in p]
     assert got == sorted(want)
+
+
+def test_leave_one_out_takes_near_folds_from_one_series(spark):
+    rng = np.random.default_rng(4)
+    g = np.sort(np.concatenate([rng.integers(0, 1500, 4000), np.full(900, 1500)]))
+    x = np.column_stack([rng.normal(3, 2, len(g)), rng.exponential(5, len(g))])
+    x[7] = 4, 3000  # a row far out
+    y = (x[:, 0] - 0.1 * np.minimum(x[:, 1], 50) + rng.normal(size=len(g)) > 2).astype(int)
+    frame = spark.createDataFrame([(int(a), *map(float, b), int(c)) for a, b, c in zip(g, x, y, strict=True)], "building_id long, u double, v double, label int")
+    rows = learn.leave_one_out(frame, ["u", "v"], tasks=5).collect()
+    assert sorted((r["group"], r["label"]) for r in rows) == sorted(zip(g.tolist(), y.tolist(), strict=True))
+    for k in [0, 1, int(g[7]), 700, 1499, 1500]:
+        own = g == k
+        want = learn.probability(learn.fit(x[~own], y[~own].astype(float)), x[own])
+        assert np.allclose(sorted(r["p"] for r in rows if r["group"] == k), np.sort(want), rtol=0, atol=2e-10)
+    model = learn.fit(x, y.astype(float))
+    out = np.argsort(-(((x - model["mean"]) / model["scale"]) ** 2).sum(1))[:256]
+    series = learn.Series(model | {"used": np.ptp(x, axis=0) > 0}, x[out], y[out])
+    p = series.folds(series.sums(g, x, y), g, x, y, 1.0)
+    assert 900 <= np.isnan(p).sum() < 1200  # only these need fits over all rows
+
+
+def test_leave_one_out_of_odd_tables(spark):
+    score = lambda rows: [(r["group"], r["p"]) for r in learn.leave_one_out(spark.createDataFrame(rows, "building_id long, f double, h double, label int"), ["f", "h"]).collect()]
+    assert score([]) == []
+    assert score([(1, 2.0, 3.0, 1), (1, 4.0, 3.0, 0)]) == [(1, 0.5)] * 2
+    rows = [(g, 7.0 if g else 9.0, float(i), i % 2) for g in range(4) for i in range(6)]  # without group 0 a constant column
+    for group, p in score(rows):
+        rest = [r for r in rows if r[0] != group]
+        model = learn.fit(np.array([r[1:3] for r in rest]), np.array([r[3] for r in rest], float))
+        assert any(abs(p - q) < 1e-9 for q in learn.probability(model, np.array([r[1:3] for r in rows if r[0] == group])))
+    assert {p for _, p in score([(g, float(g), 1.0, 1) for g in range(4)])} == {3.5 / 4}
