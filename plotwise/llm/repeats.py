@@ -183,7 +183,8 @@ class Part:
         np.minimum.at(first, self.entry, self.text)
         several = np.zeros(len(self.triggers), bool)
         several[self.entry[doc != self.doc[first[self.entry]]]] = True
-        order = np.lexsort((self.hash, self.entry))
+        many = np.flatnonzero((np.bincount(self.entry, minlength=len(self.triggers)) > crowd)[self.entry])
+        order = many[np.lexsort((self.hash[many], self.entry[many]))]
         e, h = self.entry[order], self.hash[order]
         kinds = np.bincount(e[np.concatenate(([True], (e[1:] != e[:-1]) | (h[1:] != h[:-1])))[: len(e)]], minlength=len(self.triggers))
         flags = np.where(kinds > crowd, 2, several.astype(np.int64)).astype(np.uint8)
@@ -249,10 +250,11 @@ class Part:
         hit = later[string] | repeated[begin[self.string[string]] + inner]
         text, place = self.at_text[string[hit]], (self.at_place[string] + inner)[hit]
         base = np.concatenate(([0], np.cumsum([len(r) + 1 for r in self.raws], dtype=np.int64)))
-        step = np.zeros(base[-1] + 1, np.int32)
-        np.add.at(step, base[text] + place, 1)
-        np.add.at(step, base[text] + place + length, -1)
-        covered = np.cumsum(step) > 0
+        starts = np.zeros(base[-1] + 1, bool)
+        starts[base[text] + place] = True
+        upto = np.cumsum(starts, dtype=np.int64)
+        covered = upto > 0  # a byte goes if one of the last ``length`` places is a start
+        covered[length:] = upto[length:] > upto[:-length]
         for i, raw in enumerate(self.raws):
             yield covered[base[i] : base[i] + len(raw)]
 
@@ -276,14 +278,24 @@ def settle(trigger: np.ndarray, flag: np.ndarray, most: int = 4096) -> np.ndarra
 
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, length: int) -> np.ndarray:
-    """For every window of every string, in order, whether a string of a smaller document holds the same bytes."""
-    string, _, number = PrefixFreeParse(strings, depth=length).windows(length)
+    """For every window of every string, in order, whether a string of a smaller document holds the same bytes.
+
+    Of equal strings the one of the smallest document is parsed; the windows of later documents' ones are all repeated.
+    """
+    numbers: dict[bytes, int] = {}
+    alike = np.array([numbers.setdefault(s, len(numbers)) for s in strings], np.int64)
+    first = np.full(len(numbers), np.iinfo(np.int64).max)
+    np.minimum.at(first, alike, doc)
+    string, _, number = PrefixFreeParse(list(numbers), depth=length).windows(length)
     if not len(string):
         return np.zeros(0, bool)
-    _, number = np.unique(number, return_inverse=True)
     smallest = np.full(number.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, number, doc[string])
-    return doc[string] > smallest[number]
+    np.minimum.at(smallest, number, first[string])
+    found = first[string] > smallest[number]
+    count = np.bincount(string, minlength=len(numbers))
+    begin, own = np.cumsum(count) - count, count[alike]
+    places = np.repeat(begin[alike] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    return found[places] | np.repeat(doc > first[alike], own)
 
 
 _ROWS = "kind int, bucket int, part long, a binary, b binary, c binary, d binary, e binary"

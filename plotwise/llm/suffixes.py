@@ -19,10 +19,20 @@ def suffix_ranks(symbols: np.ndarray, last: np.ndarray, depth: int | None = None
     used[symbols] = 1
     symbols = np.cumsum(used)[symbols]
     places, wide = np.arange(n), int(symbols.max()).bit_length()
-    span = max(1, 62 // wide)
-    key = np.zeros(n, np.int64)
-    for t in range(span):
-        key = (key << wide) | np.where(places + t <= last, symbols[np.minimum(places + t, n - 1)], 0)
+    span, left = max(1, 62 // wide), last - places
+
+    def longer(key: np.ndarray, size: int, tail: np.ndarray, more: int) -> np.ndarray:
+        """Keys of ``size`` symbols with the ``more`` that follow; none follow a string's last."""
+        key = key << (wide * more)
+        if size < n:
+            key[:-size] |= np.where(left[:-size] >= size, tail[size:], 0)
+        return key
+
+    key, size = symbols, 1
+    for bit in f"{span:b}"[1:]:
+        key, size = longer(key, size, key, size), 2 * size
+        if bit == "1":
+            key, size = longer(key, size, symbols, 1), size + 1
     work, rank = places, np.zeros(n, np.int64)
     while len(work):
         order = np.argsort(key)

@@ -487,3 +487,26 @@ def test_steps_of_the_quality_estimate_shuffle_counts_only(spark, sf):
         bins = np.floor(64 * np.log(a + 0.5 + 1e-9))
         inside = a[bins <= np.sort(bins)[int(np.ceil(0.75 * len(a))) - 1]]
         assert got[True][key]["mean"][0] == pytest.approx(inside.mean()) and got[False][key]["mean"] == pytest.approx(got[True][key]["mean"])
+
+
+def test_equal_strings_are_parsed_once(monkeypatch):
+    parsed = []
+
+    class Counted(PrefixFreeParse):
+        def __init__(self, strings, **options):
+            parsed.append(len(strings))
+            super().__init__(strings, **options)
+
+    monkeypatch.setattr(repeats, "PrefixFreeParse", Counted)
+    rng = np.random.default_rng(5)
+    kinds = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (3, 8, 8, 9, 14, 20)]
+    for _ in range(20):
+        pick, doc = rng.integers(0, 6, 15), rng.integers(0, 6, 15)
+        strings, want, least = [kinds[i] for i in pick], [], {}
+        for s, d in zip(strings, doc.tolist(), strict=True):
+            for i in range(len(s) - 7):
+                least[s[i : i + 8]] = min(d, least.get(s[i : i + 8], d))
+        for s, d in zip(strings, doc.tolist(), strict=True):
+            want += [d > least[s[i : i + 8]] for i in range(len(s) - 7)]
+        assert repeats.repeated_windows(strings, doc, 8).tolist() == want
+        assert parsed[-1] == len(set(strings))
