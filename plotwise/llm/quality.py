@@ -207,20 +207,22 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     estimate from, use their language's rows, and languages under ``least`` all rows. ``features`` gives each
     statistic's least standard deviation. Distances are told apart to 1/64 in log where rows are ranked by them.
     Up to ``most_broadcast`` languages and sources, counted, their estimates (about 1 kB a key and start) pass through
-    the driver and are broadcast, so ``rows`` are read in place at each step and should be materialised; beyond that
-    they are checkpointed and joined over salted keys.
+    the driver and are broadcast; beyond that they are checkpointed and joined over salted keys. Rows get their keys
+    once, and are checkpointed with them for the steps to read.
     """
     names, floors = list(features), list(features.values())
     sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     in_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     keys = sizes.join(in_lang, "lang").select(
-        "lang", "source",
+        "lang", "source", "n",
         F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= least, F.to_json(F.array("lang"))).otherwise(F.lit("[]")).alias("key"),
     )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(16)).cast("int"))
     kept = held(keys, most_broadcast)
     if few := kept is not None:
-        keyed = salted.join(F.broadcast(kept), ["lang", "source"]).select("key", "salt", "row_id", *names)
+        # Made once, as every step reads it, in files of some 50,000 rows, however many partitions the rows have.
+        files = max(12, (kept.agg(F.sum("n")).first()[0] or 0) // 50_000)
+        keyed = cut(salted.join(F.broadcast(kept), ["lang", "source"]).select("key", "salt", "row_id", *names).coalesce(files))
     else:
         copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         keyed = cut(salted.join(copies, ["lang", "source", "salt"]).select("key", "salt", "row_id", *names))

@@ -510,3 +510,19 @@ def test_equal_strings_are_parsed_once(monkeypatch):
             want += [d > least[s[i : i + 8]] for i in range(len(s) - 7)]
         assert repeats.repeated_windows(strings, doc, 8).tolist() == want
         assert parsed[-1] == len(set(strings))
+
+
+def test_quality_steps_read_keyed_rows_without_joining_them_again(spark, monkeypatch):
+    plans, step = [], quality._with
+
+    def watched(rows, *others, **options):
+        plans.append(rows._jdf.queryExecution().analyzed().toString())
+        return step(rows, *others, **options)
+
+    monkeypatch.setattr(quality, "_with", watched)
+    rng = np.random.default_rng(6)
+    rows = [(i, f"l{i % 2}", "s", *map(float, rng.normal(size=2) + (30 if i == 17 else 0))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "row_id long, lang string, source string, a double, b double").repartition(40)
+    far = quality.outliers(frame, {"a": 0.1, "b": 0.1})
+    assert [r["row_id"] for r in far.collect()] == [17]
+    assert plans and not any("lang" in p for p in plans)
