@@ -195,6 +195,15 @@ def _starts(keyed: DataFrame, names: list[str], floors: list[float], starts: int
     return both.select("key", F.col("start").cast("int").alias("start"), "mean", factor.alias("factor"))
 
 
+def _fall(old: DataFrame, new: DataFrame, few: bool) -> float | None:
+    """By how much the log determinant of a key falls at most; estimates of few keys are the driver's own already and need no job."""
+    if not few:
+        return new.alias("new").join(old.alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
+    before, after = ({r["key"]: r["logdet"] for r in e.select("key", "logdet").collect()} for e in (old, new))
+    falls = [before[k] - after[k] for k in before.keys() & after.keys()]
+    return float(np.max(falls)) if falls else None
+
+
 def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: float = 0.75, starts: int = 4, short: int = 2, most_steps: int = 20, z: float = 10.0, least: int = 100, most_broadcast: int = 10_000) -> DataFrame:
     """(row_id, distance) of the outlying rows of ``(row_id, lang, source, features...)``.
 
@@ -238,7 +247,7 @@ def outliers(rows: DataFrame, features: dict[str, float] = FEATURES, *, share: f
     estimate = settled(chosen)
     for _ in range(most_steps):
         nearer = settled(_step(_with(keyed, estimate, few), _distance(names), share, names, floors, few))
-        fell = nearer.alias("new").join((F.broadcast(estimate) if few else estimate).alias("old"), "key").agg(F.max(F.col("old.logdet") - F.col("new.logdet"))).first()[0]
+        fell = _fall(estimate, nearer, few)
         estimate = nearer
         if fell is None or fell <= 1e-6:
             break

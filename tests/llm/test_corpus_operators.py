@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from plotwise.llm import components as components_module
 from plotwise.llm import embeddings, mixing, quality, repeats, simhash, similar
 from plotwise.llm.common import held
 from plotwise.llm.components import components
@@ -526,3 +527,36 @@ def test_quality_steps_read_keyed_rows_without_joining_them_again(spark, monkeyp
     far = quality.outliers(frame, {"a": 0.1, "b": 0.1})
     assert [r["row_id"] for r in far.collect()] == [17]
     assert plans and not any("lang" in p for p in plans)
+
+
+def test_few_edges_are_merged_by_one_task_without_star_rounds(spark, monkeypatch):
+    rounds, join = [], components_module._with_least
+
+    def counted(*args):
+        rounds.append(1)
+        return join(*args)
+
+    monkeypatch.setattr(components_module, "_with_least", counted)
+    edges = [(i, j) for i in range(40) for j in range(i)] + [(i, i + 1) for i in range(100, 160)] + [(200, 200)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = {i: 0 for i in range(40)} | {i: 100 for i in range(100, 161)}
+    got = lambda **o: sorted((r["node"], r["component"]) for r in components(frame, **o).collect())
+    assert got() == sorted(want.items()) and not rounds
+    assert got(most_alone=99) == sorted(want.items()) and rounds  # 39 and 60 edges are the least that rounds can leave
+    until = len(rounds)
+    assert got(most_alone=0) == sorted(want.items()) and len(rounds) > 2 * until
+
+
+def test_falls_of_few_determinants_need_no_job(spark):
+    old, new = (spark.createDataFrame(rows, "key string, logdet double") for rows in ([("a", 3.0), ("b", 1.0), ("c", 9.0)], [("a", 1.0), ("b", 0.5)]))
+    held_old, held_new = held(old, 5), held(new, 5)
+    context = spark.sparkContext
+    context.setJobGroup("falls", "")
+    try:
+        assert quality._fall(held_old, held_new, True) == 2.0
+        assert not context.statusTracker().getJobIdsForGroup("falls")
+        assert quality._fall(old, new, False) == 2.0
+        assert context.statusTracker().getJobIdsForGroup("falls")
+        assert quality._fall(held_old, held(new.limit(0), 5), True) is None
+    finally:
+        context._jsc.clearJobGroup()
